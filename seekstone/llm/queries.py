@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seekstone.llm import distinctive, frequency, lookalike, packing, ranking, splitting, tokenizing
+from seekstone.llm import distinctive, frequency, lookalike, neardup, packing, ranking, splitting, tokenizing
 from seekstone.operators.distinct import first_rows
 from seekstone.session import materialize
 from seekstone.sources.tables import table
@@ -61,6 +61,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).filter("piece_index = 0").select("record_kind", "record_id")
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of three words and a similarity of 0.6, as the statement of this problem's data fixes them."""
+    both = None
+    for name, kind in (("source_docs", "document"), ("chunks", "chunk")):
+        rows = table(spark, folder, name).select(F.lit(kind).alias("record_kind"), "id", "content")
+        both = rows if both is None else both.unionByName(rows)
+    return neardup.near_duplicates(both, "record_kind", "id", "content", threshold=0.6, width=3, min_words=30)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neardup.class_pairs(p4_classes(spark, folder), "record_kind", "id")
+    return pairs.select("record_kind", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
 def _results(spark: SparkSession, folder: str) -> DataFrame:
     """Each candidate of a query once; redelivered rows are equal but for the logging time."""
     rows = table(spark, folder, "query_results").select("query_id", "chunk_id", "vector_score", "lexical_score")
