@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seekstone.llm import distinctive, frequency, lookalike, neardup, packing, ranking, splitting, tokenizing
+from seekstone.llm import distinctive, frequency, lookalike, neardup, packing, ranking, similar, splitting, tokenizing
 from seekstone.operators.distinct import first_rows
 from seekstone.session import materialize
 from seekstone.sources.tables import table
@@ -24,6 +24,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_frequency(spark, folder).filter("mark IS NOT NULL").select("term", "mark")
 
 
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar chunks of every chunk."""
+    near = similar.similar_vectors(table(spark, folder, "chunks").select("id", "embedding"), "id", "embedding")
+    return near.withColumnRenamed("id", "chunk_id")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = similar.mutual_pairs(table(spark, folder, "chunks").select("id", "embedding"), "id", "embedding", least=0.9)
+    return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
 def _oversized(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and chunks with the sizes that their own metadata leads to: 12 fixed collections, broadcast."""
     manifests = table(spark, folder, "manifests").select("collection", "chunk_size", "chunk_overlap")
