@@ -10,21 +10,23 @@ A token-group matrix, in steps that each shuffle a compact table once:
    only are dropped, and texts left with too few shared shingles to be linked at all;
 3. texts are partitioned into groups: those that share their rarest shared shingle, in blocks of bounded size.  Of each
    text, the rarest shingles are kept: if two texts are linked, at least ``MATCHES`` of these are in both;
-4. the matrix says which groups hold a shingle.  For a text and a group, the number of the text's kept shingles
-   in the group's union bounds what it can share with any member; groups that can't qualify stay closed;
+4. the matrix says which groups hold a shingle.  The number of a text's kept shingles in a group's union, plus what the
+   shingles that weren't kept could add, bounds what the text shares with any member; groups whose bound is below
+   what the sizes ask for stay closed;
 5. in the groups that are opened, members are compared with the whole sets.  A comparison within a class that is
    known already is skipped: classes need no further link, so many alike texts aren't paired all with all.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from seekstone.functions.text import words
 from seekstone.session import materialize, parallelism
 
 #: Kept shingles that linked texts must have in common.
@@ -35,8 +37,15 @@ BLOCK = 256
 SHORT_LIST = 512
 #: Rows up to which a table of long integers is broadcast (16 MB).
 BROADCAST_ROWS = 1_000_000
+#: The same for tables with keys of some 40 bytes.
+SMALL_ROWS = 200_000
 MAX_ROUNDS = 60
 
+#: Bits of a shingle within its slice.  Where two of one text fall together, the text needs one match less.
+CELL_BITS = 28
+#: Texts dealt at once; their places fit 16 bits.
+BATCH = 60_000
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -46,17 +55,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def shingle_sets(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(doc, shingle)``, sorted, each shingle of a document once.  ``hashes``: of all words, documents end to end;
-    ``offsets``: where each begins.  A document of fewer words than ``width`` has none."""
-    h = hashes.view(np.uint64)
-    length = np.diff(offsets)
-    doc = np.repeat(np.arange(len(length), dtype=np.int64), np.maximum(length - width + 1, 0))
+_WORDS = re.compile(r"\w+")
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, case-folded; remembered, as words repeat."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        code = int.from_bytes(hashlib.blake2b(word.casefold().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self[word] = code
+        return code
+
+
+_HASHES = _Hashes()
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, texts end to end, and where each text begins."""
+    found = [_WORDS.findall(t) for t in texts]
+    offsets = np.r_[0, np.cumsum([len(w) for w in found])].astype(np.int64)
+    get = _HASHES.__getitem__
+    flat = np.fromiter((h for w in found for h in map(get, w)), np.uint64, count=int(offsets[-1]))
+    return flat, offsets
+
+
+def shingle_sets(h: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(doc, shingle)``, sorted, each shingle of a document once.  ``h``: hashes of all words, documents end to end;
+    ``offsets``: where each begins; ``seeds``: equal for documents that may share shingles."""
+    runs = np.maximum(np.diff(offsets) - width + 1, 0)
+    doc = np.repeat(np.arange(len(runs), dtype=np.int64), runs)
     if not len(doc):
         return doc, np.zeros(0, np.uint64)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(length - width + 1, 0)), np.maximum(length - width + 1, 0))
-    at = offsets[:-1][doc] + nth + np.maximum(length - width + 1, 0)[doc]
-    s = np.zeros(len(doc), np.uint64)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs) + offsets[:-1][doc]
+    s = seeds[doc]
     for k in range(width):
         s = s * _ODD + h[at + k]
     s = _mixed(s)
@@ -66,169 +99,249 @@ def shingle_sets(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     return doc[new], s[new]
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+def _sets(kinds: pa.Array, texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = np.array([_HASHES[k] for k in kinds.to_pylist()], np.uint64)
+    return shingle_sets(*word_hashes(texts.to_pylist()), seeds, width)
+
+
+def _pack(values: np.ndarray, kind: type) -> bytes:
+    """An array by planes of bytes, compressed: high bytes are mostly equal."""
+    planes = np.ascontiguousarray(values, kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
 _POST = pa.schema([("slice", pa.int32()), ("uid", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _POST.types[k]) for k in range(5)], schema=_POST)
+def _rows(rows: list[tuple], schema: pa.Schema = _POST) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _slices_of(part: np.ndarray, slices: int) -> np.ndarray:
+    return np.searchsorted(part, np.arange(slices + 1))
 
 
 def _deal(batches: Iterator[pa.RecordBatch], slices: int, width: int) -> Iterator[pa.RecordBatch]:
-    """(rid, hashes) -> shingles by slice.  A row with slice < 0 tells of the batch: its texts' ids and set sizes."""
+    """(rid, kind, text) -> shingles by slice: (slice, uid, cells, texts).  ids run on within a batch: uid + place.  A row with
+    slice < 0 tells of the batch: the sizes of its texts' sets."""
     for batch in batches:
-        if not len(batch):
-            continue
-        rid = batch.column(0).to_numpy()
-        doc, s = shingle_sets(*_lists(batch.column(1)), width)
-        uid = int(rid[0])
-        size = np.bincount(doc, minlength=len(rid)).astype(np.uint32)
-        rows = [(-1 - uid % slices, uid, rid.tobytes(), size.tobytes(), b"")]
-        part = (s % np.uint64(slices)).astype(np.int32)
-        token = (s // np.uint64(slices)).astype(np.uint32)  # 32 bits: rarely two shingles count as one
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(slices + 1))
-        for p in range(slices):
-            at = order[cuts[p] : cuts[p + 1]]
-            if len(at):
-                rows.append((p, uid, token[at].tobytes(), doc[at].astype(np.uint32).tobytes(), b""))
-        yield _rows(rows)
+        ids = batch.column(0).to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(ids) != 1) + 1, len(ids)]
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for a in range(start, end, BATCH):
+                part = batch.slice(a, min(BATCH, end - a))
+                doc, s = _sets(part.column(1), part.column(2), width)
+                uid = int(ids[a])
+                size = np.bincount(doc, minlength=len(part))
+                rows = [(-1 - uid % slices, uid, _pack(size, np.uint32), b"", b"")]
+                slice_of = (s % np.uint64(slices)).astype(np.int32)
+                cell = (_mixed(s * _ODD) >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
+                order = np.lexsort((cell, slice_of))
+                bounds = _slices_of(slice_of[order], slices)
+                for p in range(slices):
+                    at = order[bounds[p] : bounds[p + 1]]
+                    if len(at):
+                        rows.append((p, uid, _pack(_steps(cell[at]), np.uint32), _pack(doc[at], np.uint16), b""))
+                yield _rows(rows)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole slices -> the shingles that several texts have, with the number of texts."""
     held: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for p, uid, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if p < 0:
-                yield _rows([(p, uid, a, b, c)])
-            else:
-                held.setdefault(p, []).append((uid, np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)))
+    for p, uid, a, b, c in _each(batches):
+        if p < 0:
+            yield _rows([(p, uid, a, b, c)])
+        else:
+            held.setdefault(p, []).append((uid, np.cumsum(_unpack(a, np.uint32), dtype=np.uint32), b))
     for p, parts in held.items():
-        token = np.concatenate([t for _, t, _ in parts])
-        _, inverse, counts = np.unique(token, return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(np.concatenate([t for _, t, _ in parts]), return_inverse=True, return_counts=True)
         df = np.minimum(counts, 0xFFFF).astype(np.uint16)[inverse.ravel()]
-        at, out = 0, []
-        for uid, t, d in parts:
-            f = df[at : at + len(t)]
+        at = 0
+        for uid, t, b in parts:
+            f, d = df[at : at + len(t)], _unpack(b, np.uint16)
             at += len(t)
             some = f > 1
             if some.any():
-                out.append((p, uid, t[some].tobytes(), d[some].tobytes(), f[some].tobytes()))
-        if out:
-            yield _rows(out)
+                yield _rows([(p, uid, _pack(_steps(t[some]), np.uint32), _pack(d[some], np.uint16), _pack(f[some], np.uint16))])
 
 
-_KEPT = pa.schema(
-    [("slice", pa.int32()), ("token", pa.binary()), ("rid", pa.binary()), ("size", pa.binary()), ("grp", pa.binary())]
-)
+_KEPT = pa.schema([("slice", pa.int32()), ("uid", pa.int64()), *[(c, pa.binary()) for c in ("cell", "doc", "size", "grp")]])
+_KEPT_SQL = "slice int, uid bigint, cell binary, doc binary, size binary, grp binary"
+_PAIRS = pa.schema([("slice", pa.int32()), *[(c, pa.binary()) for c in ("x", "g", "c", "need")]])
 
 
 def _keep(batches: Iterator[pa.RecordBatch], slices: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Whole batches of texts -> their rarest shingles by slice, with size and group; slice -1: all texts' groups."""
-    sizes: dict[int, tuple] = {}
+    """Whole batches of texts -> their rarest shingles by slice, with size and group; slice -1: all texts' groups.
+
+    The size of a text carries in its top byte how many of its shingles share a cell with another."""
+    sizes: dict[int, np.ndarray] = {}
     held: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for p, uid, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if p < 0:
-                sizes[uid] = (np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32).astype(np.int64))
-            else:
-                held.setdefault(uid, []).append(
-                    (p, np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint16))
-                )
+    for p, uid, a, b, c in _each(batches):
+        if p < 0:
+            sizes[uid] = _unpack(a, np.uint32).astype(np.int64)
+        else:
+            held.setdefault(uid, []).append((p, a, b, c))
     for uid, parts in held.items():
-        rid, size = sizes[uid]
-        doc = np.concatenate([d for _, _, d, _ in parts]).astype(np.int64)
-        df = np.concatenate([f for _, _, _, f in parts])
-        token = np.concatenate(
-            [t.astype(np.uint64) * np.uint64(slices) + np.uint64(p) for p, t, _, _ in parts]
-        )
-        shared = np.bincount(doc, minlength=len(rid))
+        size = sizes[uid]
+        cells = [np.cumsum(_unpack(a, np.uint32), dtype=np.uint32) for _, a, _, _ in parts]
+        token = np.concatenate([t.astype(np.uint64) * np.uint64(slices) + np.uint64(q[0]) for t, q in zip(cells, parts)])
+        doc = np.concatenate([_unpack(b, np.uint16) for _, _, b, _ in parts]).astype(np.int64)
+        df = np.concatenate([_unpack(c, np.uint16) for _, _, _, c in parts])
+        shared = np.bincount(doc, minlength=len(size))
         must = np.ceil(threshold * size - 1e-9).astype(np.int64)
         order = np.lexsort((_mixed(token * _ODD), df, doc))
         doc, df, token = doc[order], df[order], token[order]
-        first = np.r_[0, np.cumsum(shared)][:-1]
+        first = np.cumsum(shared) - shared
         place = np.arange(len(doc)) - first[doc] + (size - shared)[doc]  # shingles of one text come first
         good = (shared >= must) & (shared > 0)
         keep = good[doc] & (place < (size - must + MATCHES)[doc])
-        if not keep.any():
-            continue
         ids = np.flatnonzero(good)
+        if not len(ids):
+            continue
+        twice = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (token[1:] == token[:-1])], minlength=len(size))
         rarest, times = token[first[ids]], df[first[ids]].astype(np.uint64)
-        block = _mixed(rid[ids].astype(np.uint64) * _ODD) % ((times + np.uint64(BLOCK - 1)) // np.uint64(BLOCK))
-        group = np.zeros(len(rid), np.int64)
-        group[ids] = _mixed((rarest + block * _MIX) * _ODD).view(np.int64)
-        rows = [(-1, b"", rid[ids].tobytes(), size[ids].astype(np.uint32).tobytes(), group[ids].tobytes())]
+        block = _mixed((uid + ids).astype(np.uint64) * _ODD) % ((times + np.uint64(BLOCK - 1)) // np.uint64(BLOCK))
+        group = np.zeros(len(size), np.uint32)  # 32 bits: rarely two groups are one
+        group[ids] = _mixed((rarest + block * _MIX) * _ODD) >> np.uint64(32)
+        marked = (size | (np.minimum(twice, 255) << 24)).astype(np.uint32)
+        rows = [(-1, uid, b"", _pack(ids, np.uint16), b"", _pack(group[ids], np.uint32))]
         doc, token = doc[keep], token[keep]
-        part = (token % np.uint64(slices)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(slices + 1))
+        slice_of, cell = (token % np.uint64(slices)).astype(np.int32), (token // np.uint64(slices)).astype(np.uint32)
+        order = np.lexsort((cell, slice_of))
+        bounds = _slices_of(slice_of[order], slices)
         for p in range(slices):
-            at = order[cuts[p] : cuts[p + 1]]
+            at = order[bounds[p] : bounds[p + 1]]
             if len(at):
                 d = doc[at]
                 rows.append(
-                    (p, token[at].tobytes(), rid[d].tobytes(), size[d].astype(np.uint32).tobytes(), group[d].tobytes())
+                    (
+                        p,
+                        uid,
+                        _pack(_steps(cell[at]), np.uint32),
+                        _pack(d, np.uint16),
+                        _pack(marked[d], np.uint32),
+                        _pack(group[d], np.uint32),
+                    )
                 )
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KEPT.types[k]) for k in range(5)], schema=_KEPT)
+        yield _rows(rows, _KEPT)
+
 
+def _needed(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Kept shingles that texts of sizes x and y (not larger) must share: what a link asks for, less what the shingles
+    that aren't kept can add.  All that both have lies in both kept parts or in the rest of one of them."""
+    rest = np.maximum(np.ceil(threshold * x - 1e-9) - MATCHES, 0)  # grows with the size, so the larger one's counts
+    return np.maximum(1, np.ceil(threshold / (1 + threshold) * (x + y) - 1e-9) - rest).astype(np.int64)
 
-def _bound(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Whole slices of the matrix -> (text, group, shared kept shingles, how many are needed)."""
+
+def _bound(batches: Iterator[pa.RecordBatch], slices: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Whole slices of the matrix -> (text, group, shared kept shingles, how many are needed), packed by text."""
     held: dict[int, list[tuple]] = {}
-    for batch in batches:
-        for p, *arrays in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            kinds = (np.uint64, np.int64, np.uint32, np.int64)
-            held.setdefault(p, []).append(tuple(np.frombuffer(x, k) for x, k in zip(arrays, kinds, strict=True)))
+    for p, uid, cell, doc, size, grp in _each(batches):
+        held.setdefault(p, []).append(
+            (
+                np.cumsum(_unpack(cell, np.uint32), dtype=np.uint32),
+                _unpack(doc, np.uint16).astype(np.int64) + uid,
+                _unpack(size, np.uint32).astype(np.int64),
+                _unpack(grp, np.uint32),
+            )
+        )
     for parts in held.values():
-        token, rid, size, group = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, rid, marked, group = (np.concatenate(x) for x in zip(*parts, strict=True))
+        size, twice = marked & 0xFFFFFF, marked >> 24
         order = np.lexsort((rid, size, token))
-        token, rid, size, group = token[order], rid[order], size[order].astype(np.int64), group[order]
+        token, rid, size, group, twice = token[order], rid[order], size[order], group[order], twice[order]
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.diff(np.r_[start, len(token)])
+        nth = np.repeat(np.arange(len(start)), length)
+        some = np.flatnonzero(np.repeat(length <= SHORT_LIST, length))
         found = []
-        short = np.repeat(length <= SHORT_LIST, length)
-        t, r, s, g = token[short], rid[short], size[short], group[short]
-        nth = np.repeat(np.flatnonzero(length <= SHORT_LIST), length[length <= SHORT_LIST])
         for shift in range(1, int(length[length <= SHORT_LIST].max(initial=1))):
-            same = np.flatnonzero(t[shift:] == t[:-shift])
-            if not len(same):
+            x, y = some[shift:], some[:-shift]
+            same = nth[x] == nth[y]
+            if not same.any():
                 break
-            ok = same[s[same] >= threshold * s[same + shift] - 1e-9]  # the smaller isn't too small
-            found.append((nth[ok + shift], r[ok + shift], g[ok], s[ok + shift]))
+            x, y = x[same], y[same]
+            ok = size[y] >= threshold * size[x] - 1e-9  # the smaller isn't too small
+            x, y = x[ok], y[ok]
+            found.append((x, group[y], _needed(size[x], size[y], threshold)))
         for k in np.flatnonzero(length > SHORT_LIST):  # a common shingle: by group, not by pair
             cut = slice(start[k], start[k] + length[k])
-            r, s, g = rid[cut], size[cut], group[cut]
+            s, g = size[cut], group[cut]
             for one in np.unique(g):
                 ys = np.flatnonzero(g == one)
                 low = np.searchsorted(s[ys], threshold * s - 1e-9)  # the first member that isn't too small ...
-                ok = np.flatnonzero(np.r_[ys, len(r)][low] < np.arange(len(r)))  # ... stands before the text
-                found.append((np.full(len(ok), k), r[ok], np.full(len(ok), one), s[ok]))
+                ok = np.flatnonzero(np.r_[ys, len(s)][low] < np.arange(len(s)))  # ... stands before the text
+                found.append((ok + start[k], np.full(len(ok), one, np.uint32), _needed(s[ok], s[ys[low[ok]]], threshold)))
         if not found:
             continue
-        nth, text, grp, s = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((nth, grp, text))
-        nth, text, grp, s = nth[order], text[order], grp[order], s[order]
-        once = np.r_[True, (nth[1:] != nth[:-1]) | (grp[1:] != grp[:-1]) | (text[1:] != text[:-1])][: len(nth)]
-        text, grp, s = text[once], grp[once], s[once]
-        start = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (text[1:] != text[:-1])][: len(text)])
-        count = np.diff(np.r_[start, len(text)])
-        need = np.minimum(MATCHES, np.ceil(threshold * s[start] - 1e-9)).astype(np.int32)
-        out = pa.table({"x": text[start], "g": grp[start], "c": count.astype(np.int32), "need": need})
-        yield from out.to_batches(max_chunksize=200_000)
+        x, g, need = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.lexsort((need, nth[x], g, rid[x]))
+        x, g, need = x[order], g[order], need[order]
+        text = rid[x]
+        once = np.ones(len(x), bool)
+        once[1:] = (nth[x][1:] != nth[x][:-1]) | (g[1:] != g[:-1]) | (text[1:] != text[:-1])
+        x, g, text, need = x[once], g[once], text[once], need[once]
+        begin = np.ones(len(x), bool)
+        begin[1:] = (g[1:] != g[:-1]) | (text[1:] != text[:-1])
+        begin = np.flatnonzero(begin)
+        count = np.diff(np.r_[begin, len(x)])
+        need = np.maximum(1, np.minimum.reduceat(need, begin) - twice[x[begin]]) if len(begin) else need
+        yield from _by_text(text[begin], g[begin], np.minimum(count, 0xFFFF), np.minimum(need, 0xFFFF), slices)
+
+
+def _by_text(text: np.ndarray, g: np.ndarray, count: np.ndarray, need: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
+    slice_of = (_mixed(text.astype(np.uint64) * _ODD) % np.uint64(slices)).astype(np.int32)
+    order = np.argsort(slice_of, kind="stable")
+    bounds = _slices_of(slice_of[order], slices)
+    rows = []
+    for p in range(slices):
+        at = order[bounds[p] : bounds[p + 1]]
+        if len(at):
+            x = _pack(_steps(text[at]), np.int64)
+            rows.append((p, x, _pack(g[at], np.uint32), _pack(count[at], np.uint16), _pack(need[at], np.uint16)))
+    yield _rows(rows, _PAIRS)
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole slices of bounds -> the (text, group) that qualify."""
+    held: dict[int, list[tuple]] = {}
+    for p, x, g, c, need in _each(batches):
+        held.setdefault(p, []).append(
+            (np.cumsum(_unpack(x, np.int64)), _unpack(g, np.uint32), _unpack(c, np.uint16), _unpack(need, np.uint16))
+        )
+    for parts in held.values():
+        x, g, c, need = (np.concatenate(a) for a in zip(*parts, strict=True))
+        order = np.lexsort((g, x))
+        x, g, c, need = x[order], g[order].astype(np.int64), c[order].astype(np.int64), need[order].astype(np.int64)
+        if not len(x):
+            continue
+        begin = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (g[1:] != g[:-1])])
+        ok = np.add.reduceat(c, begin) >= np.minimum.reduceat(need, begin)
+        out = pa.table({"x": x[begin][ok], "g": g[begin][ok]})
+        yield from out.to_batches(max_chunksize=100_000)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Opened groups, rows sorted by group: (g, asks, rid, hashes) -> links."""
+    """Opened groups, rows sorted by group: (g, asks, rid, kind, text) -> links."""
     held: list[pa.RecordBatch] = []
 
     def run(table: pa.Table) -> pa.RecordBatch:
         g, asks, rid = (table.column(k).to_numpy() for k in ("g", "asks", "rid"))
-        doc, s = shingle_sets(*_lists(table.column("hashes").combine_chunks()), width)
+        doc, s = _sets(table.column("kind"), table.column("text"), width)
         cuts = np.searchsorted(doc, np.arange(len(g) + 1))
         size = np.diff(cuts)
         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
@@ -321,68 +434,68 @@ def near_duplicates(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     rows = rows.withColumn("same", F.unhex(F.md5(F.concat_ws("\x00", "kind", "text"))))
-    tokens = words(F.col("text"))
-    texts = rows.dropDuplicates(["same"]).filter(F.size(tokens) >= wanted)
-    texts = materialize(
-        texts.select(F.monotonically_increasing_id().alias("rid"), "kind", "same", "text"), "texts"
-    )
-    # words of different kinds differ, so no shingle is in records of both
-    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(F.col("kind"), w)).alias("hashes")
+    # enough words: looked at from the start, without going back
+    word, gap = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    enough = F.col("text").rlike(f"^{gap}*+(?:{word}++{gap}++){{{wanted - 1}}}{word}")
+    texts = rows.filter(enough).dropDuplicates(["same"])  # the only time that texts are shuffled
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("rid"), "kind", "same", "text"), "texts")
     blob = "slice int, uid bigint, a binary, b binary, c binary"
-    dealt = texts.select("rid", hashes).mapInArrow(lambda b: _deal(b, slices, width), blob)
+    dealt = texts.select("rid", "kind", "text").mapInArrow(lambda b: _deal(b, slices, width), blob)
     counted = dealt.repartition(slices, "slice").mapInArrow(_count, blob)
-    kept = counted.repartition(slices, "uid").mapInArrow(
-        lambda b: _keep(b, slices, threshold), "slice int, token binary, rid binary, size binary, grp binary"
-    )
+    kept = counted.repartition(slices, "uid").mapInArrow(lambda b: _keep(b, slices, threshold), _KEPT_SQL)
     kept = materialize(kept, "matrix")
     bounds = (
         kept.filter("slice >= 0")
         .repartition(slices, "slice")
-        .mapInArrow(lambda b: _bound(b, threshold), "x bigint, g bigint, c int, need int")
+        .mapInArrow(lambda b: _bound(b, slices, threshold), "slice int, x binary, g binary, c binary, need binary")
     )
-    opened = bounds.groupBy("x", "g").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need")
-    opened = materialize(opened.select("x", "g"), "opened")
+    opened = bounds.repartition(slices, "slice").mapInArrow(_open, "x bigint, g bigint")
+    opened = materialize(opened, "opened")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(r, np.int64)), pa.array(np.frombuffer(g, np.int64))], ["rid", "g"]
-                )
+        for uid, docs, grp in _each(batches):
+            rid, g = _unpack(docs, np.uint16).astype(np.int64) + uid, _unpack(grp, np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(g)], ["rid", "g"])
 
-    groups = kept.filter("slice = -1").select("rid", "grp").mapInArrow(members, "rid bigint, g bigint")
+    groups = kept.filter("slice = -1").select("uid", "doc", "grp").mapInArrow(members, "rid bigint, g bigint")
     groups = _among(groups, "g", opened.select("g").distinct())
     asks = opened.select(F.col("x").alias("rid"), "g", F.lit(True).alias("asks"))
     parts = materialize(asks.unionByName(groups.select("rid", "g", F.lit(False).alias("asks"))), "parts")
-    few = _among(texts, "rid", parts.select("rid").distinct()).select("rid", hashes)
+    few = _among(texts, "rid", parts.select("rid").distinct()).select("rid", "kind", "text")
     links = (
         parts.join(few, "rid")
-        .select("g", "asks", "rid", "hashes")
+        .select("g", "asks", "rid", "kind", "text")
         .repartition(slices, "g")
         .sortWithinPartitions("g", "asks")
         .mapInArrow(lambda b: _verify(b, width, threshold), "u bigint, v bigint")
     )
     labels = components(materialize(links, "links"))
-    linked = labels.join(texts.select(F.col("rid").alias("node"), "same"), "node").select("same", "label")
-    records = rows.select("kind", "key", "same").distinct()
+    linked = texts.select(F.col("rid").alias("node"), "same").join(_small(labels), "node").select("same", "label")
+    linked = materialize(linked, "linked")
     # what has no link keeps its own text as label; records below the least length their own key
-    own = F.coalesce(F.concat(F.lit("l"), F.col("label").cast("string")), F.concat(F.lit("t"), F.hex("same")))
-    long = texts.select("same")
-    labelled = (
-        records.join(linked, "same", "left")
-        .join(long.withColumn("long", F.lit(True)), "same", "left")
-        .withColumn("own", F.when(F.col("long"), own).otherwise(F.concat(F.lit("k"), F.col("key").cast("string"))))
+    own = F.when(F.col("label").isNotNull(), F.concat(F.lit("l"), F.col("label").cast("string"))).otherwise(
+        F.when(F.col("long"), F.concat(F.lit("t"), F.hex("same"))).otherwise(F.concat(F.lit("k"), F.col("key").cast("string")))
     )
-    least = labelled.groupBy("kind", "own").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("size"))
-    lone = least.filter("size = 1").select("kind", F.col("class").alias("key"), "class")
-    several = labelled.join(least.filter("size > 1").drop("size"), ["kind", "own"]).select("kind", "key", "class")
-    return several.unionByName(lone).select(F.col("kind").alias(kind), F.col("key").alias(key), "class")
+    records = rows.select("kind", "key", "same", enough.alias("long")).dropDuplicates(["kind", "key"])
+    labelled = materialize(records.join(_small(linked), "same", "left").select("kind", "key", own.alias("own")), "labelled")
+    several = labelled.groupBy("kind", "own").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("n"))
+    several = materialize(several.filter("n > 1").drop("n"), "several")
+    classes = labelled.join(_small(several), ["kind", "own"], "left")
+    return classes.select(F.col("kind").alias(kind), F.col("key").alias(key), F.coalesce("class", "key").alias("class"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcast up to a checked size, else left to a shuffle.  For stored tables, which are counted without reading them."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
 
 
 def class_pairs(classes: DataFrame, kind: str, key: str) -> DataFrame:
     """``(kind, a, b)``: all pairs of different records of a class, the smaller key first."""
-    several = classes.groupBy(kind, "class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    held = classes.join(several, [kind, "class"], "left_semi")
-    one = held.select(kind, "class", F.col(key).alias("a"))
-    other = held.select(kind, "class", F.col(key).alias("b"))
-    return one.join(other, [kind, "class"]).filter("a < b").select(kind, "a", "b")
+    # a class is named by its least key, so all others have another one
+    rest = classes.filter(F.col("class") != F.col(key))
+    one = rest.select(kind, "class", F.col(key).alias("b")).unionByName(
+        rest.select(kind, "class", F.col("class").alias("b")).distinct()
+    )
+    return (
+        one.withColumnRenamed("b", "a").join(one, [kind, "class"]).filter("a < b").select(kind, "a", "b")
+    )
