@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seekstone.functions.text import word_counts
+from seekstone.session import materialize
 
 #: A word is hot if more than this share of all (record, word) pairs are its own; so there are at most 1,000.
 HOT_SHARE = 0.001
@@ -36,7 +37,8 @@ def distinctive_terms(
     """
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     counts = word_counts(narrow, ["key"], "text", lowercase)
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("records"))
+    # read three times below, so it is stored: the words are cut once
+    terms = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("records")), "terms")
     total = terms.agg(
         F.sum(F.pow(F.col("records").cast("double"), F.lit(exponent))).alias("mass"), F.sum("records").alias("pairs")
     ).collect()[0]
