@@ -45,7 +45,9 @@ def simple_chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """Windows of ``size`` characters of the stripped text, each ``overlap`` back from the one before; blank ones are
     dropped.  Null and blank texts give an empty array."""
     check_sizes(size, overlap)
-    return _not_blank(_windows(strip(F.coalesce(text, F.lit(""))), size, size - overlap))
+    # as a lambda's variable the text is stripped once, not once per window
+    once = F.array(strip(F.coalesce(text, F.lit(""))))
+    return _not_blank(F.flatten(F.transform(once, lambda t: _windows(t, size, size - overlap))))
 
 
 def _quoted(separator: str) -> str:

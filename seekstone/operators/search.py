@@ -82,11 +82,13 @@ def search_rankings(
     near = near.select("query_id", "chunk_id", "score", "rank")
     if mode is SearchMode.VECTOR:
         return _cut(near, after, top_k, [F.col("rank")], F.col("score"), none)
-    fused = fusion.fuse([near, lexical], strategy, alpha).withColumnRenamed("rank", "place")
-    sides = fused
-    for name, side in (("vector_score", near), ("lexical_score", lexical)):
-        sides = sides.join(side.select("query_id", "chunk_id", F.col("score").alias(name)), ["query_id", "chunk_id"], "left")
-    return _cut(sides, after, top_k, [F.col("place")], F.col("vector_score"), F.col("lexical_score"))
+    # the scores of both sides travel through the merge, so neither ranking is computed or joined again
+    near = near.withColumns({"vector_score": F.col("score"), "lexical_score": none})
+    lexical = lexical.withColumns({"vector_score": none, "lexical_score": F.col("score")})
+    fused = fusion.fuse([near, lexical], strategy, alpha, carry=("vector_score", "lexical_score"))
+    return _cut(
+        fused.withColumnRenamed("rank", "place"), after, top_k, [F.col("place")], F.col("vector_score"), F.col("lexical_score")
+    )
 
 
 def _cut(ranked: DataFrame, allowed: DataFrame | None, k: int, order: list[Column], v: Column, x: Column) -> DataFrame:
