@@ -140,29 +140,35 @@ class Trie:
         """The vocabulary word within ``budget``, the cheapest.  Look-alikes and ignorables cost 0, other edits 1 each.
 
         Edges are labelled by shape, so that all look-alikes are one free step."""
-        states: list[tuple[dict, int]] = [(self.root, 0)]
+        states: dict[int, tuple[dict, int]] = {}
+
+        def reach(into: dict, node: dict, cost: int) -> None:
+            """Enter a state, and those that missing letters lead to."""
+            if cost <= budget and (id(node) not in into or into[id(node)][1] > cost):
+                into[id(node)] = (node, cost)
+                if cost < budget:
+                    for label, child in node.items():
+                        if label:
+                            reach(into, child, cost + 1)
+
+        reach(states, self.root, 0)
         for unit in _units(word):
             shape = _shape(unit)
             if not shape:  # can't be seen
                 continue
             after: dict[int, tuple[dict, int]] = {}
-
-            def reach(node: dict, cost: int, after=after) -> None:
-                if cost <= budget and (id(node) not in after or after[id(node)][1] > cost):
-                    after[id(node)] = (node, cost)
-
-            for node, cost in states:
+            for node, cost in states.values():
                 if shape in node:
-                    reach(node[shape], cost)
+                    reach(after, node[shape], cost)
                 if cost < budget:
-                    reach(node, cost + 1)
+                    reach(after, node, cost + 1)
                     for label, child in node.items():
                         if label:
-                            reach(child, cost + 1)
-            states = list(after.values())
+                            reach(after, child, cost + 1)
+            states = after
             if not states:
                 return None
-        ends = [(cost, node[""]) for node, cost in states if "" in node]
+        ends = [(cost, node[""]) for node, cost in states.values() if "" in node]
         return min(ends)[1] if ends else None
 
 

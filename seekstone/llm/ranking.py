@@ -27,11 +27,10 @@ MAX_STEPS = 200
 #: Items of a list that one task may hold.
 BIG_LIST = 1_000_000
 #: Steps for lists walked as tables; the error falls by the damping each step.
-BIG_STEPS = 120
-BIG_CUT = 8
+BIG_STEPS = 100
 
 
-def rank_walk(lists: np.ndarray, scores: np.ndarray, damping: float = DAMPING) -> np.ndarray:
+def rank_walk(lists: np.ndarray, scores: np.ndarray, damping: float = DAMPING, steps: int = 0) -> np.ndarray:
     """Stationary weight of every item, times the size of its list (1: an average item).  ``lists``: the list of each
     item, equal ones adjacent; ``scores``: items x scores, NaN where missing.  Missing ones stand together below all
     others of that score."""
@@ -51,7 +50,7 @@ def rank_walk(lists: np.ndarray, scores: np.ndarray, damping: float = DAMPING) -
         stay = 1.0 - (start - first[sorted_g[start]])[run] / sizes[order]  # the start of a run: items above it
         walks.append((order, stay, np.r_[start[1:], n][run], (first + size)[sorted_g]))
     x = np.ones(n)
-    for _ in range(MAX_STEPS):
+    for _ in range(steps or MAX_STEPS):
         arrived = np.zeros(n)
         for order, stay, behind, stop in walks:
             mass = x[order]
@@ -123,7 +122,7 @@ def _walk_big(rows: DataFrame, n_scores: int, damping: float, ranges: int) -> Da
         runs = runs.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
         sides.append(materialize(runs.join(_below(runs, "n"), ["l", "s"]).withColumnRenamed("below", "worse"), "runs"))
     x = base.select("l", "id", F.lit(1.0).alias("x"))
-    for step in range(BIG_STEPS):
+    for _ in range(BIG_STEPS):
         arrived = None
         for k, runs in enumerate(sides):
             mine = base.select("l", "id", "size", F.col(f"s{k}").alias("s")).join(x, ["l", "id"]).join(runs, ["l", "s"])
@@ -134,8 +133,7 @@ def _walk_big(rows: DataFrame, n_scores: int, damping: float, ranges: int) -> Da
             )
             arrived = part if arrived is None else arrived.unionByName(part)
         x = arrived.groupBy("l", "id").agg((F.sum("a") * (damping / n_scores) + (1.0 - damping)).alias("x"))
-        if step % BIG_CUT == BIG_CUT - 1:
-            x = materialize(x, "walk-step")
+        x = materialize(x, "walk-step")  # it is read several times by the next step: plans would double
     return base.join(x, ["l", "id"]).select("q", "i", F.col("x").alias("weight"))
 
 
