@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Any, Protocol, runtime_checkable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seekstone.errors import ChunkingError
@@ -143,7 +144,6 @@ def chunk_column(chunker: Any, text: Column) -> Column:
     """The chunks of a text by any chunker."""
     if hasattr(chunker, "column"):
         return chunker.column(text)
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
