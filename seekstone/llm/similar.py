@@ -33,6 +33,8 @@ CELL_ROWS = 32_768
 #: Scores held at once.
 TILE = 8_000_000
 BROADCAST_ROWS = 200_000
+#: The same for vectors with a list of keys.
+BROADCAST_COPIES = 10_000
 
 
 def probes(parts: int) -> int:
@@ -498,7 +500,31 @@ def similar_vectors(df: DataFrame, key: str, vector: str, dim: int = 64, k: int
     """
     vectors = distinct_vectors(df, key, vector, dim, k + 1)
     near = materialize(nearest(vectors, dim, k), "near")
-    return _rows_of(near, vectors, k, key)
+    rows = _rows_of(near, vectors, k, key)
+    often = vectors.filter(F.size("ids") > k)  # all ids that there are, or more than are kept
+    return rows if often.isEmpty() else rows.unionByName(_further_copies(df, key, vector, dim, k, often))
+
+
+def _further_copies(df: DataFrame, key: str, vector: str, dim: int, k: int, often: DataFrame) -> DataFrame:
+    """Rows whose vector k + 1 smaller keys have too: their neighbours are the first k of these."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, good = _unit(b.column(1), dim)
+            at = np.flatnonzero(good)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at)), pa.array([x[i].tobytes() for i in at], pa.binary())], ["key", "vec"]
+            )
+
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(vector).alias("vec")).filter(
+        F.col("key").isNotNull() & (F.size("vec") == dim)
+    )
+    few = often.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    often = often.select("vec", "ids")
+    copies = rows.mapInArrow(units, "key string, vec binary").join(F.broadcast(often) if few else often, "vec")
+    copies = copies.filter(~F.array_contains("ids", F.col("key"))).select("key", "ids").dropDuplicates(["key"])
+    each = copies.select(F.col("key").alias(key), F.posexplode(F.slice("ids", 1, k)))
+    return each.select(key, F.col("col").alias("neighbour"), F.lit(1.0).alias("score"), (F.col("pos") + 1).alias("place"))
 
 
 def _rows_of(near: DataFrame, vectors: DataFrame, k: int, key: str) -> DataFrame:

@@ -180,6 +180,7 @@ def test_copies_odd_vectors_and_ties(spark):
     for r in sorted(rows, key=lambda r: r["place"]):
         got.setdefault(r["id"], []).append(r["neighbour"])
     assert got["c00"] == ["c01", "c02"] and got["c02"] == ["c00", "c01"] and got["d"] == ["c00", "c01"]
+    assert all(got[f"c{n:02}"] == ["c00", "c01"] for n in range(2, 9)) and len(got) == 11
     assert not set(got) & {"n1", "n2", "n3", "n4", "n5"}
     pairs = {tuple(r) for r in mutual_pairs(df, "id", "v", 0.9, dim=3, k=2).collect()}
     assert pairs == {("c00", "c01"), ("c00", "c02"), ("c01", "c02")}
