@@ -32,7 +32,7 @@ class _Codes(dict):
     def __missing__(self, gram: str) -> int:
         digest = hashlib.md5(gram.encode("utf-8", "surrogatepass")).digest()
         code = int.from_bytes(digest[:4], "big") % self.dim + (self.dim if digest[4] % 2 else 0)
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[gram] = code
         return code
