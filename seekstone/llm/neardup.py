@@ -62,7 +62,7 @@ class _Hashes(dict):
     """64-bit hashes of words, case-folded; remembered, as words repeat."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 500_000:
             self.clear()
         code = int.from_bytes(hashlib.blake2b(word.casefold().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         self[word] = code
