@@ -33,7 +33,7 @@ from seekstone.schema import (
     SearchMode,
     coerce,
 )
-from seekstone.session import materialize, ship
+from seekstone.session import materialize, ship, spread
 from seekstone.sources import files
 from seekstone.stores import VectorStoreRegistry
 from seekstone.tool import SearchTool
@@ -119,7 +119,7 @@ class Engine:
         last = documents.groupBy("doc_id").agg(F.max("seq").alias("seq"))
         documents = documents.filter(F.col("doc_id").isNotNull()).join(last, ["doc_id", "seq"], "left_semi")
         documents = documents.dropDuplicates(["doc_id"])
-        cut = chunk_documents(documents, chunker)
+        cut = chunk_documents(spread(documents), chunker)
         # order: documents as given, then chunks within; numbered without bringing all rows together
         cut = materialize(self._numbered(cut, ["seq", "document_id", "chunk_index"]), "chunks")
         ids = materialize(cut.select(F.col("document_id").alias("doc_id")).distinct(), "ids")

@@ -20,7 +20,7 @@ from seekstone.operators.lexical import bm25, build_index, corpus_stats, documen
 from seekstone.operators.search import IndexTables, context_text, search_rankings, with_content
 from seekstone.operators.vector import approximate_knn, knn, knn_batch, lsh_model
 from seekstone.schema import LexicalParams
-from seekstone.session import new_path
+from seekstone.session import new_path, spread
 from seekstone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,10 +57,14 @@ BATCH = [
 TEXT = BATCH[0][1]
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"))
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     """chunk_id, content, seq, metadata."""
     pairs = F.map_filter(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")), lambda k, v: v.isNotNull())
-    return table(spark, folder, "documents").select(
+    return _texts(spark, folder).select(
         F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("doc_id").alias("seq"), pairs.alias("metadata")
     )
 
@@ -127,24 +131,24 @@ def _near_sql(k: object = 10, metric: str = "cosine", among: str = "embeddings")
 @query(f"SELECT doc_id, len({TOKENS.format('text')})::INT AS n_tokens, len(list_distinct({TOKENS.format('text')}))::INT AS n_terms FROM documents")
 def tokenize_counts(spark, folder):
     t = words(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
+    return _texts(spark, folder).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
 
 
 @query(f"SELECT doc_id, len(list_filter({TOKENS.format('text')}, lambda w: NOT list_contains({STOP}, w)))::INT AS n_tokens FROM documents")
 def tokenize_stopwords(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.size(words(F.col("text"), stopwords=list(STOPWORDS))).alias("n_tokens"))
+    return _texts(spark, folder).select("doc_id", F.size(words(F.col("text"), stopwords=list(STOPWORDS))).alias("n_tokens"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(coalesce(text,''), '[\\p{{L}}\\p{{N}}_]+'))::INT AS n_tokens, md5(array_to_string(regexp_extract_all(coalesce(text,''), '[\\p{{L}}\\p{{N}}_]+'), ' ')) AS digest FROM documents")
 def tokenize_as_written(spark, folder):
     t = words(F.col("text"), lowercase=False)
-    return table(spark, folder, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return _texts(spark, folder).select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 @query(f"SELECT doc_id, md5(trim(coalesce(text,''), {WS})) AS digest, (trim(coalesce(text,''), {WS}) = '') AS blank FROM documents")
 def strip_text(spark, folder):
     text = F.coalesce("text", F.lit(""))
-    return table(spark, folder, "documents").select("doc_id", F.md5(strip(text)).alias("digest"), is_blank(text).alias("blank"))
+    return _texts(spark, folder).select("doc_id", F.md5(strip(text)).alias("digest"), is_blank(text).alias("blank"))
 
 
 # chunking
@@ -166,12 +170,12 @@ def _chunk_rows(df: DataFrame, chunks: Column) -> DataFrame:
 
 @query(_simple_sql(500, 50))
 def chunk_simple(spark, folder):
-    return _chunk_rows(table(spark, folder, "documents"), simple_chunks(F.col("text"), 500, 50))
+    return _chunk_rows(_texts(spark, folder), simple_chunks(F.col("text"), 500, 50))
 
 
 @query(_simple_sql(200, 0))
 def chunk_simple_disjoint(spark, folder):
-    return _chunk_rows(table(spark, folder, "documents"), simple_chunks(F.col("text"), 200, 0))
+    return _chunk_rows(_texts(spark, folder), simple_chunks(F.col("text"), 200, 0))
 
 
 def _recursive_sql(size: int, overlap: int) -> str:
@@ -200,12 +204,12 @@ def _recursive_sql(size: int, overlap: int) -> str:
 
 @query(_recursive_sql(300, 40))
 def chunk_recursive(spark, folder):
-    return _chunk_rows(table(spark, folder, "documents"), recursive_chunks(F.col("text"), 300, 40))
+    return _chunk_rows(_texts(spark, folder), recursive_chunks(F.col("text"), 300, 40))
 
 
 @query(_recursive_sql(120, 0))
 def chunk_recursive_disjoint(spark, folder):
-    return _chunk_rows(table(spark, folder, "documents"), recursive_chunks(F.col("text"), 120, 0))
+    return _chunk_rows(_texts(spark, folder), recursive_chunks(F.col("text"), 120, 0))
 
 
 @query(
@@ -307,7 +311,7 @@ _UPSERTED = """SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 10000000
 @query(f"WITH {_lexical_sql(docs=_UPSERTED)} {_LEX_OUT}")
 def bm25_after_upsert(spark, folder):
     """Every fifth document is replaced by a new text, which goes to the end."""
-    new = table(spark, folder, "documents").filter("doc_id % 5 = 0").select(
+    new = _texts(spark, folder).filter("doc_id % 5 = 0").select(
         F.col("doc_id").alias("chunk_id"),
         F.concat(F.lit("archive query "), F.coalesce("title", F.lit(""))).alias("content"),
         (F.col("doc_id") + 1000000000).alias("seq"),
@@ -418,7 +422,7 @@ def ann_recall(spark, folder):
 )
 def hash_embedding(spark, folder):
     """The non-zero numbers of each document's vector."""
-    v = hash_embed(table(spark, folder, "documents"), "doc_id", "text", 64)
+    v = hash_embed(_texts(spark, folder), "doc_id", "text", 64)
     each = v.select("doc_id", F.posexplode("embedding")).filter("col <> 0")
     return each.select("doc_id", F.col("pos").alias("bucket"), F.round(F.col("col").cast("double"), 5).alias("x"))
 

@@ -84,5 +84,11 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(f"{folder}/seekstone.zip")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of too few parts (a single small file, say) to all cores before costly work; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 >= cores else df.repartition(cores)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
