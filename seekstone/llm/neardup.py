@@ -394,26 +394,29 @@ def _among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(node, label)``: the least node of each component of the links ``(u, v)``.
 
-    Each round a node takes the least label around it, then its label's label; rounds grow with the logarithm of the
-    longest path.  Every round is a table in the shared folder, so lineage stays short and no executor's loss hurts.
+    Each round a node takes the least of its label's label and those of the nodes around it, and the node that was its label
+    takes it too.  So whole trees are hooked at their roots where they meet, and rounds grow about with the logarithm
+    of the longest path.  Ends only when no label changes; raises if ``MAX_ROUNDS`` don't suffice.  Every round is a table
+    in the shared folder, so lineage stays short and no executor's loss hurts.
     """
-    edges = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    edges = materialize(edges.filter("u <> v"), "edges")
-    labels = materialize(
-        edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels"
-    )
+    links = links.filter("u <> v")
+    edges = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # a node is around itself, so that its own label comes along
+    edges = materialize(edges.unionByName(edges.select("u", F.col("u").alias("v"))).distinct(), "edges")
+    labels = materialize(edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node"), "labels")
     for _ in range(MAX_ROUNDS):
-        around = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node"))
-        lower = labels.join(around.agg(F.min("label").alias("m")), "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "m").alias("label")
-        )
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = lower.join(above, "label").select("node", "old", F.least("label", "up").alias("label"))
-        new = materialize(new, "labels")
+        labels = labels.join(above, "label").select(F.col("node").alias("v"), "label", "up")
+        own = F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("old")
+        around = edges.join(labels, "v").groupBy("u").agg(own, F.min("up").alias("m"))
+        node = F.struct(F.col("u").alias("node"), "old", F.least("old", "m").alias("label"))
+        root = F.struct(F.col("old").alias("node"), F.lit(None).cast("bigint").alias("old"), F.col("m").alias("label"))
+        taken = around.select(F.explode(F.array(node, root)).alias("t")).select("t.*")
+        new = materialize(taken.groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.filter("label <> old").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"The classes weren't settled after {MAX_ROUNDS} rounds.")
 
 
 def near_duplicates(

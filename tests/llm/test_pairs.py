@@ -115,6 +115,19 @@ def test_components(spark):
     assert got == {n: 0 for n in range(21)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_long_chains(spark, monkeypatch):
+    """A chain is one component however long it is and however its ids lie; what isn't settled is never given out."""
+    ids = list(range(1000))
+    random.Random(5).shuffle(ids)
+    links = list(zip(ids[:-1], ids[1:])) + [(2000, 2001)]
+    df = spark.createDataFrame(links, "u bigint, v bigint")
+    got = {r["node"]: r["label"] for r in components(df).collect()}
+    assert got == dict.fromkeys(range(1000), 0) | {2000: 2000, 2001: 2000}
+    monkeypatch.setattr(neardup, "MAX_ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        components(df)
+
+
 # similar vectors
 
 
