@@ -132,9 +132,9 @@ class Trie:
         self.root: dict = {}
         for word in words:
             node = self.root
-            for unit in _units(word):
-                node = node.setdefault(_shape(unit), {})
-            node.setdefault("", word)
+            for shape in _shapes(word):
+                node = node.setdefault(shape, {})
+            node.setdefault(None, word)  # no shape is None
 
     def find(self, word: str, budget: int = 0) -> str | None:
         """The vocabulary word within ``budget``, the cheapest.  Look-alikes and ignorables cost 0, other edits 1 each.
@@ -148,14 +148,11 @@ class Trie:
                 into[id(node)] = (node, cost)
                 if cost < budget:
                     for label, child in node.items():
-                        if label:
+                        if label is not None:
                             reach(into, child, cost + 1)
 
         reach(states, self.root, 0)
-        for unit in _units(word):
-            shape = _shape(unit)
-            if not shape:  # can't be seen
-                continue
+        for shape in _shapes(word):
             after: dict[int, tuple[dict, int]] = {}
             for node, cost in states.values():
                 if shape in node:
@@ -163,12 +160,12 @@ class Trie:
                 if cost < budget:
                     reach(after, node, cost + 1)
                     for label, child in node.items():
-                        if label:
+                        if label is not None:
                             reach(after, child, cost + 1)
             states = after
             if not states:
                 return None
-        ends = [(cost, node[""]) for node, cost in states.values() if "" in node]
+        ends = [(cost, node[None]) for node, cost in states.values() if None in node]
         return min(ends)[1] if ends else None
 
 
@@ -189,6 +186,21 @@ def _shape(unit: str) -> str:
     return unit if unit.isascii() else skeleton(unit)
 
 
+def _shapes(word: str) -> list[str]:
+    """The shapes of a word's units, without what can't be seen.  A joiner that :func:`skeleton` keeps has its own."""
+    units = _units(word)
+    if JOINER in word:
+        units = _units("".join(c for c in word if c == JOINER or not _invisible(c)))
+    shapes = []
+    for n, unit in enumerate(units):
+        if unit == JOINER:
+            if 0 < n < len(units) - 1 and _emoji(units[n - 1][-1]) and _emoji(units[n + 1][0]):
+                shapes.append(JOINER)
+        elif shape := _shape(unit):
+            shapes.append(shape)
+    return shapes
+
+
 def well_spelled(word: str) -> bool:
     """Fit for the vocabulary: spelled as the table would, composed, without anything invisible."""
     return spell(skeleton(word)) == word or (

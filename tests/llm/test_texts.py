@@ -1,3 +1,4 @@
+import itertools
 import random
 import unicodedata
 
@@ -184,6 +185,22 @@ def test_spelling_by_vocabulary_and_table():
     assert speller.form("раскоп") == speller.form("pacкoп")
 
 
+@pytest.mark.parametrize("order", list(itertools.permutations(["👩‍💻", "👩💻", "👩", "💻"])))
+def test_joined_emoji_of_the_vocabulary(order):
+    """The joiner between two emoji is seen: it has a shape of its own and is no end of a word."""
+    for size in range(1, 5):
+        speller = Speller(list(order[:size]))
+        for word in ["👩‍💻", "👩💻", "👩", "💻"]:
+            assert speller.form(f"a {word} é") == f"a {word} é"
+            assert speller.trie.find(word) == (word if word in order[:size] else None)
+
+
+def test_joined_emoji_pairs(spark):
+    texts = ["👩‍💻 é", "👩💻 é", "👩 é", "👩💻 é", "👩‍💻​ é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    assert sorted(map(tuple, lookalike_pairs(df, "id", "t").collect())) == [(0, 4)]
+
+
 def test_forms_and_pairs_of_a_table(spark):
     texts = ["same text", "sаme text", "same​ text", "same text", "other", None, "", " ", "​", "　", "Same text"]
     df = spark.createDataFrame([(n, t, b"x", "y") for n, t in enumerate(texts)], "id bigint, t string, look binary, form string").repartition(3)
