@@ -342,6 +342,17 @@ def l2_normalized(spark, folder):
     return v.select("vec_id", F.col("pos").alias("place"), _r(F.col("col").cast("double")).alias("x"))
 
 
+@query(
+    """SELECT vec_id, i::INT AS place, round((CASE WHEN n > 1e-12 THEN x / n ELSE x END)::FLOAT::DOUBLE, 6) AS x FROM (SELECT vec_id, n,
+    unnest(e) AS x, unnest(range(0, len(e))) AS i FROM (SELECT vec_id, embedding::DOUBLE[] AS e,
+    sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings))"""
+)
+def l2_normalized_whole(spark, folder):
+    """All numbers of each unit vector."""
+    v = table(spark, folder, "embeddings").select("vec_id", F.posexplode(l2_normalize(F.col("embedding").cast("array<double>"))))
+    return v.select("vec_id", F.col("pos").alias("place"), _r(F.col("col").cast("double")).alias("x"))
+
+
 def _knn(spark, folder, metric) -> DataFrame:
     query_vector = table(spark, folder, "embeddings").filter(f"vec_id = {BATCH[0][2]}").head()["embedding"]
     return knn(_vectors(spark, folder), query_vector, metric, 10).select("chunk_id", _r("score").alias("score"))

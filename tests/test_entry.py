@@ -37,6 +37,16 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_every_number_of_a_unit_vector(spark):
+    import pyarrow.parquet as pq
+
+    from seekstone.plans import queries
+
+    lengths = {r["vec_id"]: len(r["embedding"]) for r in pq.read_table(f"{DATA}/embeddings.parquet").to_pylist()}
+    got = queries.QUERIES["l2_normalized_whole"](spark, DATA).toPandas()
+    assert got.groupby("vec_id")["place"].agg(lambda p: sorted(p) == list(range(len(p))) and len(p)).to_dict() == lengths
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
