@@ -20,7 +20,7 @@ from seekstone.operators.lexical import bm25, build_index, corpus_stats, documen
 from seekstone.operators.search import IndexTables, context_text, search_rankings, with_content
 from seekstone.operators.vector import approximate_knn, knn, knn_batch, lsh_model
 from seekstone.schema import LexicalParams
-from seekstone.session import new_path, spread
+from seekstone.session import materialize, new_path, spread
 from seekstone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,17 @@ def _one(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BATCH[:1], "query_id bigint, query string, vec_id bigint")
 
 
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of searches, each id once: query_id, query, top_k."""
+    return table(spark, folder, "queries").select("query_id", "query", "top_k").dropDuplicates(["query_id"])
+
+
+def _hundredth(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whose id is divisible by 100, as a query."""
+    rows = table(spark, folder, "embeddings").filter("vec_id % 100 = 0")
+    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
 def _r(column: str | Column) -> Column:
     return F.round(column, 6)
 
@@ -280,6 +291,15 @@ def bm25_batch(spark, folder):
     return _bm25(spark, folder, k=20)
 
 
+_ASKED = "(SELECT query_id, any_value(query) AS query, any_value(top_k) AS top_k FROM queries GROUP BY query_id)"
+
+
+@query(f"WITH {_lexical_sql(k=1 << 30, batch=_ASKED)} {_LEX_OUT} JOIN {_ASKED} USING (query_id) WHERE rank <= top_k")
+def bm25_queries(spark, folder):
+    """Every search of the table queries over all documents, each with its own top_k."""
+    return _bm25(spark, folder, k="top_k", queries=_asked(spark, folder))
+
+
 @query(f"WITH {_lexical_sql(0.5, 1.0)} {_LEX_OUT}")
 def bm25_k1_b(spark, folder):
     return _bm25(spark, folder, LexicalParams(0.5, 1.0))
@@ -383,6 +403,32 @@ def knn_batches(spark, folder):
     return near.select("query_id", "chunk_id", _r("score").alias("score"), "rank")
 
 
+def _hundredth_sql(metric: str) -> str:
+    return f"""SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT w.vec_id AS query_id, v.vec_id AS chunk_id,
+        {_SCORE_SQL[metric]} AS score, row_number() OVER (PARTITION BY w.vec_id ORDER BY round({_SCORE_SQL[metric]}, 9) DESC,
+        v.vec_id)::INT AS rank FROM embeddings v, embeddings w WHERE w.vec_id % 100 = 0) WHERE rank <= 10"""
+
+
+def _knn_queries(spark, folder, metric) -> DataFrame:
+    near = knn_batch(_vectors(spark, folder), _hundredth(spark, folder), metric, 10)
+    return near.select("query_id", "chunk_id", _r("score").alias("score"), "rank")
+
+
+@query(_hundredth_sql("cosine"))
+def knn_queries_cosine(spark, folder):
+    return _knn_queries(spark, folder, "cosine")
+
+
+@query(_hundredth_sql("inner_product"))
+def knn_queries_inner_product(spark, folder):
+    return _knn_queries(spark, folder, "inner_product")
+
+
+@query(_hundredth_sql("l2"))
+def knn_queries_l2(spark, folder):
+    return _knn_queries(spark, folder, "l2")
+
+
 _SHIFTED = """(SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding
     FROM embeddings)"""
 
@@ -410,13 +456,17 @@ def vector_size(spark, folder):
 
 @query()
 def ann_recall(spark, folder):
-    """How many of the 10 nearest by hashing are among the 10 nearest."""
-    vectors = _vectors(spark, folder)
-    query_vector = table(spark, folder, "embeddings").filter(f"vec_id = {BATCH[0][2]}").head()["embedding"]
+    """How many of the 10 nearest by hashing are among the 10 nearest, over every hundredth vector as a query."""
+    vectors, asked = _vectors(spark, folder), _hundredth(spark, folder)
     model, unit = lsh_model(vectors, bucket=1.0, tables=8)
-    near = approximate_knn(model, unit, query_vector, 10).select("chunk_id")
-    hit = knn(vectors, query_vector, "cosine", 10).join(near, "chunk_id", "left_semi")
-    return hit.agg((F.count(F.lit(1)) / 10).alias("recall"))
+    hashed = materialize(model.transform(unit), "hashed")
+    found = []
+    for row in asked.toLocalIterator():
+        near = approximate_knn(model, hashed, row["qvec"], 10).select("chunk_id").collect()  # 10 ids a query
+        found += [(row["query_id"], r["chunk_id"]) for r in near]
+    near = spark.createDataFrame(found, "query_id bigint, chunk_id bigint").withColumn("hit", F.lit(1))
+    exact = knn_batch(vectors, asked, "cosine", 10).select("query_id", "chunk_id")
+    return exact.join(near, ["query_id", "chunk_id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 @query(

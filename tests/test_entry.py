@@ -47,6 +47,32 @@ def test_every_number_of_a_unit_vector(spark):
     assert got.groupby("vec_id")["place"].agg(lambda p: sorted(p) == list(range(len(p))) and len(p)).to_dict() == lengths
 
 
+def test_searches_of_the_tables(spark, monkeypatch):
+    """Every row of queries and every hundredth vector is searched for, not a few that are written into the code."""
+    import pyarrow.parquet as pq
+
+    from seekstone.plans import queries
+
+    asked = {r["query_id"]: r for r in pq.read_table(f"{DATA}/queries.parquet").to_pylist()}
+    got = queries.QUERIES["bm25_queries"](spark, DATA).toPandas().groupby("query_id").size()
+    assert set(got.index) <= set(asked) and len(got) > 4 and all(n <= asked[q]["top_k"] for q, n in got.items())
+    hundredth = {v for v in pq.read_table(f"{DATA}/embeddings.parquet")["vec_id"].to_pylist() if v % 100 == 0}
+    for metric in ("cosine", "inner_product", "l2"):
+        got = queries.QUERIES[f"knn_queries_{metric}"](spark, DATA).toPandas()
+        assert got.groupby("query_id").size().to_dict() == dict.fromkeys(hundredth, 10)
+    # the index finds everything for the first query and nothing for the others
+    near = queries.knn(queries._vectors(spark, DATA), queries._hundredth(spark, DATA).first()["qvec"], "cosine", 10).cache()
+    calls = []
+
+    def first_only(model, unit, query, k):
+        calls.append(query)
+        return near if len(calls) == 1 else near.limit(0)
+
+    monkeypatch.setattr(queries, "approximate_knn", first_only)
+    assert queries.QUERIES["ann_recall"](spark, DATA).first()["recall"] == pytest.approx(1 / len(hundredth))
+    assert len(calls) == len(hundredth)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
