@@ -327,8 +327,9 @@ def _own_cells(batches: Iterator[pa.RecordBatch], index: Index, k: int) -> Itera
 
 
 def _travellers(x, rid, routes, least, cell, index: Index) -> Iterator[pa.RecordBatch]:
-    """Each vector to each other cell that holds a part to look into; half precision is enough to travel."""
-    vec = [v.tobytes() for v in x.astype(np.float16)]
+    """Each vector to each other cell that holds a part to look into, as it is: scores found there are
+    ranked beside those of the own cell."""
+    vec = [v.tobytes() for v in x.astype(np.float32)]
     row = np.repeat(np.arange(len(x)), routes.shape[1])
     part = routes.ravel().astype(np.int64)
     times = index.blocks[part]
@@ -370,7 +371,7 @@ def _other_cells(batches: Iterator[pa.RecordBatch], index: Index, k: int) -> Ite
             base_part = index.own_part(base[0])
         t = pa.Table.from_batches(waiting)
         waiting = []
-        x = _vectors(t.column("a"), index.dim, np.float16).astype(np.float32)
+        x = _vectors(t.column("a"), index.dim)
         rid, least = t.column("rid").to_numpy(), t.column("least").to_numpy()
         lists = [np.frombuffer(b, np.int16) for b in t.column("b").to_pylist()]
         rows = np.repeat(np.arange(len(x)), [len(b) for b in lists])

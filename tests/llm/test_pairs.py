@@ -171,6 +171,20 @@ def test_recall_of_the_index(spark, monkeypatch):
     assert sum(len(got[n] & set(want[n])) for n in range(len(x))) / want.size >= 0.9
 
 
+def test_scores_of_other_cells_are_whole(spark, monkeypatch):
+    """What is found in another cell has the score of the vectors as stored, not of rounded ones."""
+    monkeypatch.setattr(similar, "PART_ROWS", 40)
+    monkeypatch.setattr(similar, "CELL_ROWS", 300)
+    x = vectors(2500)
+    held = distinct_vectors(table(spark, x), "id", "v", 8, 6)
+    index = similar.fit_index(held, 8, sample=1000, part_rows=40)
+    assert index.cells > 4
+    ids = {r["rid"]: int(r["ids"][0][1:]) for r in held.collect()}
+    s, _ = truth(x, 5)
+    rows = similar.nearest(held, 8, 5, index).collect()
+    assert max(abs(r["score"] - s[ids[r["a"]], ids[r["b"]]]) for r in rows) < 1e-6
+
+
 def test_small_tables_are_exact(spark):
     x = vectors(120)
     s, want = truth(x, 4)
