@@ -26,7 +26,7 @@ TOLERANCE = 1e-10
 MAX_STEPS = 200
 #: Items of a list that one task may hold.
 BIG_LIST = 1_000_000
-#: Steps for lists walked as tables; the error falls by the damping each step.
+#: Steps of lists walked as tables before the change of a step is looked at; the error falls by the damping each step.
 BIG_STEPS = 100
 
 
@@ -122,18 +122,23 @@ def _walk_big(rows: DataFrame, n_scores: int, damping: float, ranges: int) -> Da
         runs = runs.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
         sides.append(materialize(runs.join(_below(runs, "n"), ["l", "s"]).withColumnRenamed("below", "worse"), "runs"))
     x = base.select("l", "id", F.lit(1.0).alias("x"))
-    for _ in range(BIG_STEPS):
+    for step in range(1, MAX_STEPS + 1):
         arrived = None
         for k, runs in enumerate(sides):
             mine = base.select("l", "id", "size", F.col(f"s{k}").alias("s")).join(x, ["l", "id"]).join(runs, ["l", "s"])
             per_run = mine.groupBy("l", "s", "range").agg(F.sum("x").alias("m"))
             better = F.col("size") - F.col("worse") - F.col("n")
             part = mine.join(_below(per_run, "m"), ["l", "s"]).select(
-                "l", "id", (F.col("x") * (1 - better / F.col("size")) + F.col("below") / F.col("size")).alias("a")
+                "l", "id", "x", (F.col("x") * (1 - better / F.col("size")) + F.col("below") / F.col("size")).alias("a")
             )
             arrived = part if arrived is None else arrived.unionByName(part)
-        x = arrived.groupBy("l", "id").agg((F.sum("a") * (damping / n_scores) + (1.0 - damping)).alias("x"))
-        x = materialize(x, "walk-step")  # it is read several times by the next step: plans would double
+        new = (F.sum("a") * (damping / n_scores) + (1.0 - damping)).alias("x")
+        moved = arrived.groupBy("l", "id").agg(new, F.first("x").alias("old"))
+        moved = materialize(moved, "walk-step")  # it is read several times by the next step: plans would double
+        x = moved.select("l", "id", "x")
+        # the same end as that of shorter lists
+        if step >= BIG_STEPS and moved.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] < TOLERANCE:
+            break
     return base.join(x, ["l", "id"]).select("q", "i", F.col("x").alias("weight"))
 
 

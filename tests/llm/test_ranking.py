@@ -74,6 +74,19 @@ def test_huge_lists_as_tables_give_the_same(spark, monkeypatch):
             assert abs(big[(q, r[1])] - w) < 1e-6
 
 
+def test_huge_lists_are_walked_until_they_settle(spark, monkeypatch):
+    """They end at the same tolerance as shorter lists, not after a fixed number of steps."""
+    monkeypatch.setattr(ranking, "BIG_STEPS", 2)
+    monkeypatch.setattr(ranking, "TOLERANCE", 0.01)
+    data = rows(1, 25)
+    big = by_item(walk_ranking(spark.createDataFrame(data, SCHEMA), "q", "i", ["v", "x"], big_list=10))
+    scores = np.array([[np.nan if a is None else a for a in r[2:4]] for r in data], float)
+    settled, early = rank_walk(np.zeros(25), scores), rank_walk(np.zeros(25), scores, steps=2)
+    assert np.abs(settled - early).max() > 0.01
+    for r, w in zip(data, settled):
+        assert abs(big[(0, r[1])] - w) < 1e-6
+
+
 def test_no_range_dominates(spark):
     data = [(1, "both", 0.9, 0.9), (1, "big", 1e9, 0.1), (1, "other", 0.1, 0.95), (1, "low", 0.0, 0.2), (1, "mid", 0.2, 0.3), (1, "none", None, math.nan)]
     df = spark.createDataFrame(data, "q bigint, i string, v double, x double")
