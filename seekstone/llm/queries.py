@@ -30,6 +30,13 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.withColumnRenamed("id", "chunk_id")
 
 
+def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each chunk whose ``seq`` is divisible by 100: how many of its listed neighbours are as similar as the tenth by brute
+    force over all chunks (``found``), and how many there are (``asked``)."""
+    rows = table(spark, folder, "chunks").select("id", "embedding", "seq")
+    return similar.recall(rows, "id", "embedding", "seq", 100)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = similar.mutual_pairs(table(spark, folder, "chunks").select("id", "embedding"), "id", "embedding", least=0.9)
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))

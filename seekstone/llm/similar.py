@@ -1,45 +1,60 @@
 """Problem 2: the most similar vectors of every vector.
 
-Learned partitions.  On a sample of bounded size: the neighbour graph, its balanced partition, and a small
-classifier from a vector to the parts where its neighbours lie.  Then, over all vectors: each is put into its most
-probable part, and looked for in the several most probable ones; what is found there is ranked by exact products.
-
-Parts lie together in cells, so that a vector travels once to each cell, not once to each part.  It is first looked for in
-its own cell; only then, with the least score that still counts, in the others, from where little comes back.
-Vectors that are equal count once: of each, the first k + 1 ids, as no others can be among anybody's k first.
+Learned partitions, in two levels, so that what one vector costs doesn't grow with the collection:
+
+1. a sample's neighbour graph is partitioned in balance into *cells*, and a small classifier learns in which cells a vector's
+   neighbours lie.  Cells grow in number with the collection.  A vector lives in its most probable cell and is looked for in the
+   several most probable ones, to which it travels in full precision;
+2. in the task that holds a cell, the same again: the graph of some of its vectors, *parts* of it, a classifier to parts.
+   Parts have a fixed size, so their number grows with the cell.
+
+How many cells, and how many parts of a cell, are looked into is measured, not set: some vectors are compared with all others, and the
+least number is taken that covers the share ``COVER`` of what was found.  So data whose neighbours are easy to tell cost
+little, and those whose neighbours are noise cost more instead of losing them.  Candidates are reranked where both vectors
+are, in double precision.  Vectors that are equal count once: of each, the first k + 1 ids, as no others can be among anybody's
+k first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seekstone.llm.partitions import Router, balanced_partition, fit_router, neighbour_graph
+from seekstone.operators.vector import knn_batch
 from seekstone.session import materialize, parallelism
 
-#: Vectors on which partition and classifier are fitted, at most.
-SAMPLE = 40_000
-#: Neighbours in the graph.
+#: Neighbours in the graphs.
 GRAPH_K = 10
-#: Vectors of a part, if there are fewer than 2**MAX_LEVELS parts.
-PART_ROWS = 600
-MAX_LEVELS = 10
-#: Vectors of a cell; a part of more is cut into blocks.
-CELL_ROWS = 32_768
+#: Vectors of a cell.
+CELL_ROWS = 49_152
+#: Vectors on which the cells' classifier is fitted: so many a cell, between these bounds.
+CELL_SAMPLE, LEAST_SAMPLE, SAMPLE = 64, 4_096, 65_536
+#: A cell of more vectors is cut into blocks, each with a task of its own.
+BLOCK_ROWS = 131_072
+#: Vectors of a cell on which its parts' classifier is fitted, at most; vectors of a part.
+LOCAL_SAMPLE = 4_096
+PART_ROWS = 512
+#: Vectors that one task looks for, about.
+TASK_QUERIES = 131_072
+#: Vectors that are compared with all others to measure the number of cells, and with a whole cell for that of its parts.
+MEASURED, LOCAL_MEASURED = 1_000, 256
+#: Share of the neighbours that the cells looked into must cover, and the parts of these.
+COVER = 0.97
+#: The same where only close pairs are asked for; a pair is found from either side.
+COVER_CLOSE = 0.995
+#: Candidates beside the k best that are reranked; float32 products are this exact.
+MARGIN, SLACK = 4, 2e-6
 #: Scores held at once.
 TILE = 8_000_000
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 #: The same for vectors with a list of keys.
 BROADCAST_COPIES = 10_000
-
-
-def probes(parts: int) -> int:
-    """How many parts a vector is looked for in."""
-    return min(parts, max(8, int(2 * parts**0.5)))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,147 +72,239 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def _hash(x: np.ndarray) -> np.ndarray:
     h = np.zeros(len(x), np.uint64)
     for c in np.ascontiguousarray(x).view(np.uint32).T:
-        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ c) * _ODD
         h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
-_DISTINCT = "h bigint, vec binary, ids array<string>, copies bigint"
+def _mixed(rid: np.ndarray) -> np.ndarray:
+    """Even bits of ids, for dealing."""
+    return ((rid.astype(np.uint64) * _ODD) >> np.uint64(33)).astype(np.int64)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values, without a copy a row."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.itemsize * rows.shape[1]
+    offsets = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int64) * width).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows)])
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+
 
+_DISTINCT = "h bigint, vec binary, ids array<string>"
 
-def _collapse(rows: Iterator[tuple[int, bytes, list[str], int]], most: int) -> pa.RecordBatch:
-    """Equal vectors as one row with their least ids."""
+
+def _collapse(h: np.ndarray, vec: pa.Array, ids: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Equal vectors as one row with their least ids.  Rows whose hash nobody else has pass as they are."""
+    _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+    alone = times[inverse.ravel()] == 1
+    names = ["h", "vec", "ids"]
+    at = pa.array(np.flatnonzero(alone))
+    yield pa.RecordBatch.from_arrays([pa.array(h[alone]), vec.take(at), ids.take(at)], names)
     held: dict[bytes, list] = {}
-    for h, vec, ids in rows:
-        if vec in held:
-            both = held[vec]
-            both[1] = sorted({*both[1], *ids})[:most]
+    rest = np.flatnonzero(~alone)
+    for i, v, more in zip(rest.tolist(), vec.take(pa.array(rest)).to_pylist(), ids.take(pa.array(rest)).to_pylist()):
+        if v in held:
+            held[v][1] = sorted({*held[v][1], *more})[:most]
         else:
-            held[vec] = [h, ids]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([v[0] for v in held.values()], pa.int64()),
-            pa.array(list(held), pa.binary()),
-            pa.array([v[1] for v in held.values()], pa.list_(pa.string())),
-        ],
-        ["h", "vec", "ids"],
-    )
+            held[v] = [int(h[i]), more]
+    if held:
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([v[0] for v in held.values()], pa.int64()),
+                pa.array(list(held), pa.binary()),
+                pa.array([v[1] for v in held.values()], pa.list_(pa.string())),
+            ],
+            names,
+        )
 
 
 def distinct_vectors(df: DataFrame, key: str, vector: str, dim: int, most: int) -> DataFrame:
     """``(rid, vec, ids)``: every different unit vector with the ``most`` least keys that have it, as a table."""
-    schema = "h bigint, vec binary, ids array<string>"
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, good = _unit(b.column(1), dim)
             at = np.flatnonzero(good)
-            ids, h = b.column(0).to_pylist(), _hash(x)
-            yield _collapse(((int(h[i]), x[i].tobytes(), [ids[i]]) for i in at), most)
+            x, ids = x[at], b.column(0).take(pa.array(at)).cast(pa.string())
+            one = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1), pa.int32()), ids)
+            yield from _collapse(_hash(x), _binary(x), one, most)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                yield from zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
-
-        whole = _collapse(rows(), most)
-        for a in range(0, len(whole), 10_000):
-            yield whole.slice(a, 10_000)
+        held = [b for b in batches if len(b)]  # a partition of the shuffle
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()
+            for b in t:
+                for whole in _collapse(b.column(0).to_numpy(), b.column(1), b.column(2), most):
+                    for a in range(0, len(whole), 10_000):
+                        yield whole.slice(a, 10_000)
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(vector).alias("vec")).filter(
         F.col("key").isNotNull() & (F.size("vec") == dim)
     )
-    merged = rows.mapInArrow(first, schema).repartition(parallelism(df.sparkSession), "h").mapInArrow(again, schema)
+    merged = rows.mapInArrow(first, _DISTINCT).repartition(parallelism(df.sparkSession), "h").mapInArrow(again, _DISTINCT)
     return materialize(merged.select(F.monotonically_increasing_id().alias("rid"), "vec", "ids"), "vectors")
 
 
+# the first level: cells
+
+
 @dataclass
 class Index:
-    """What tasks need: the classifier, and the cells of each part.  Its size depends on the number of parts only."""
+    """What tasks need: the classifier to cells and where their rows go.  Its size depends on the number of cells only."""
 
-    router: Router
-    parts: int
     dim: int
-    first_cell: np.ndarray
-    blocks: np.ndarray
-    cells: int
-
-    def route(self, x: np.ndarray) -> np.ndarray:
-        """The most probable parts of each row, the best first."""
-        p = probes(self.parts)
-        logits = self.router.logits(x)
-        if p < self.parts:
-            top = np.argpartition(-logits, p - 1, axis=1)[:, :p]
-        else:
-            top = np.broadcast_to(np.arange(self.parts), logits.shape)
-        order = np.argsort(-np.take_along_axis(logits, top, 1), axis=1)
+    cells: int = 1
+    router: Router | None = None
+    probes: int = 1
+    salts: int = 1
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    blocks: np.ndarray = field(default_factory=lambda: np.ones(1, np.int64))
+
+    @property
+    def slots(self) -> int:
+        return int(self.blocks.sum()) * self.salts
+
+    def names(self) -> np.ndarray:
+        """A number for each slot, such that a shuffle by it puts every slot into a partition of its own."""
+        names, value = np.full(self.slots, -1, np.int64), 0
+        while (names < 0).any():
+            some = np.arange(value, value + 4 * self.slots, dtype=np.int64)
+            at = _spark_hash(some) % self.slots
+            first = np.unique(at, return_index=True)[1]
+            first = first[names[at[first]] < 0]
+            names[at[first]] = some[first]
+            value += len(some)
+        return names
+
+    def route(self, x: np.ndarray, most: int) -> np.ndarray:
+        """The most probable cells of each row, the best first."""
+        if self.router is None:
+            return np.zeros((len(x), 1), np.int64)
+        return _top(self.router.logits(x), most)
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        return self.route(x, 1)[:, 0]
+
+
+def _spark_hash(values: np.ndarray) -> np.ndarray:
+    """Spark's hash of 32-bit integers (Murmur3 with the fixed seed 42)."""
+    low = np.uint64(0xFFFFFFFF)
+
+    def turned(x: np.ndarray, bits: int) -> np.ndarray:
+        return ((x << np.uint64(bits)) | (x >> np.uint64(32 - bits))) & low
+
+    k = (values.astype(np.uint64) * np.uint64(0xCC9E2D51)) & low
+    k = (turned(k, 15) * np.uint64(0x1B873593)) & low
+    h = (turned(np.uint64(42) ^ k, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & low
+    h ^= np.uint64(4)
+    h = ((h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & low
+    h = ((h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & low
+    return (h ^ (h >> np.uint64(16))).astype(np.uint32).view(np.int32).astype(np.int64)
+
+
+def _top(logits: np.ndarray, most: int) -> np.ndarray:
+    """The columns of the ``most`` highest numbers of each row, the highest first; of equal ones the first."""
+    most = min(most, logits.shape[1])
+    if most == 1:
+        return logits.argmax(axis=1)[:, None]
+    if most < logits.shape[1]:
+        top = np.sort(np.argpartition(-logits, most - 1, axis=1)[:, :most], axis=1)
+        order = np.argsort(-np.take_along_axis(logits, top, 1), axis=1, kind="stable")
         return np.take_along_axis(top, order, 1)
+    return np.argsort(-logits, axis=1, kind="stable")
 
-    def own_part(self, x: np.ndarray) -> np.ndarray:
-        return self.router.logits(x).argmax(axis=1)
-
-    def own_cell(self, part: np.ndarray, rid: np.ndarray) -> np.ndarray:
-        """A part of several blocks deals its vectors by id."""
-        mixed = (rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        return self.first_cell[part] + (mixed % self.blocks[part].astype(np.uint64)).astype(np.int64)
-
-
-def fit_index(vectors: DataFrame, dim: int, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> Index:
-    n = vectors.count()
-    levels = int(np.clip(np.floor(np.log2(max(n, 1) / part_rows)), 0, MAX_LEVELS)) if n > part_rows else 0
-    parts = 1 << levels
-    chosen = vectors.select("vec")
-    if n > sample:
-        chosen = vectors.filter(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(sample / n * (1 << 30))).select("vec")
-    x = np.frombuffer(b"".join(r["vec"] for r in chosen.collect()), np.float32).reshape(-1, dim)  # about ``sample`` rows
-    graph = neighbour_graph(x, GRAPH_K)
-    part = balanced_partition(x, graph, levels)
-    router = fit_router(x, graph, part, parts)
-    index = Index(router, parts, dim, np.zeros(parts, np.int64), np.ones(parts, np.int64), 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.bincount(index.own_part(_vectors(b.column(0), dim)), minlength=parts)
-            some = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], ["part", "n"])
-
-    counts = vectors.select("vec").mapInArrow(count, "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
-    sizes = np.zeros(parts, np.int64)
-    for r in counts.collect():  # a row per part
-        sizes[r["part"]] = r["n"]
-    cell, held = 0, 0
-    for p in range(parts):
-        blocks = -(-int(sizes[p]) // CELL_ROWS)
-        if held and held + sizes[p] > CELL_ROWS:
-            cell, held = cell + 1, 0
-        index.first_cell[p], index.blocks[p] = cell, max(1, blocks)
-        held += int(sizes[p])
-        if blocks > 1:
-            cell, held = cell + blocks, 0
-    index.cells = cell + 1
-    return index
+
+def _enough(ranks: np.ndarray, cover: float, most: int) -> int:
+    """The least number of first places that hold the share ``cover`` of ``ranks``."""
+    if not len(ranks):
+        return 1
+    reached = np.cumsum(np.bincount(ranks, minlength=most)) >= cover * len(ranks) - 1e-9
+    return int(np.argmax(reached)) + 1
 
 
-def _vectors(column: pa.Array, dim: int, kind: type = np.float32) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
+def fit_index(vectors: DataFrame, dim: int, k: int, floor: float | None = None) -> Index:
+    """Cells and the number of them to look into.  ``floor``: only pairs of at least this cosine are asked for."""
+    spark = vectors.sparkSession
+    n, index = vectors.count(), Index(dim)
+    if n > 1.5 * CELL_ROWS:
+        levels = max(1, int(np.round(np.log2(n / CELL_ROWS))))
+        levels = min(levels, int(np.log2(SAMPLE / 16)))
+        index.cells = 1 << levels
+        rows = min(n, max(LEAST_SAMPLE, min(SAMPLE, CELL_SAMPLE * index.cells)))
+        x = _drawn(vectors, rows / n, 0)[1]
+        graph = neighbour_graph(x, GRAPH_K)
+        part = balanced_partition(x, graph, levels)
+        index.router = fit_router(x, graph, part, index.cells)
+        index.first, index.blocks = np.arange(index.cells), np.ones(index.cells, np.int64)
+        _measure(vectors, index, n, k, floor)
+    travels = 1 + index.probes * n / index.cells / TASK_QUERIES
+    index.salts = max(1, int(travels), -(-spark.sparkContext.defaultParallelism // int(index.blocks.sum())))
+    return index
 
 
-#: cell; role: 0 a vector of the cell, 1 one looked for, 2 found neighbours; rid; a: the vector or neighbours' ids; b: the
-#: parts to look into or the scores; least: the least score that counts
-_ROW = pa.schema(
-    [
-        ("cell", pa.int32()),
-        ("role", pa.int8()),
-        ("rid", pa.int64()),
-        ("a", pa.binary()),
-        ("b", pa.binary()),
-        ("least", pa.float32()),
-    ]
-)
-_ROW_SQL = "cell int, role tinyint, rid bigint, a binary, b binary, least float"
+def _drawn(vectors: DataFrame, share: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """About this share of the vectors, by a hash of their ids; callers bound the number."""
+    lot = F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << 30))
+    rows = vectors.filter(lot < int(share * (1 << 30))).select("rid", "vec").toPandas().sort_values("rid")
+    width = len(rows["vec"].iloc[0]) // 4 if len(rows) else 1
+    return rows["rid"].to_numpy(np.int64), np.frombuffer(b"".join(rows["vec"]), np.float32).reshape(-1, width)
 
 
-def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+def _measure(vectors: DataFrame, index: Index, n: int, k: int, floor: float | None) -> None:
+    """Some vectors against all: in how many cells their neighbours lie.  The same pass counts the cells' rows."""
+    ids, q = _drawn(vectors, MEASURED / n, 1)
+    shared = vectors.sparkSession.sparkContext.broadcast((index, ids, q))
+    least = -np.inf if floor is None else floor
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, ids, q = shared.value
+        sizes = np.zeros(ix.cells, np.int64)
+        found: list[tuple] = []
+        bound = np.full(len(q), least, np.float32)
+        for b in batches:
+            y, rid = _vectors(b.column(1), ix.dim), b.column(0).to_numpy()
+            cell = ix.own(y)
+            sizes += np.bincount(cell, minlength=ix.cells)
+            i, j, s = _above(q, y, bound, k + 1)
+            other = ids[i] != rid[j]
+            found.append((i[other], cell[j[other]], s[other]))
+            if floor is None:
+                found = [_shrink(found, k, bound)]
+        some = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(some), -1)), pa.array(some), pa.array(sizes[some].astype(np.float64))], ["q", "cell", "score"]
+        )
+        if found:
+            i, cell, s = (np.concatenate(f) for f in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(cell), pa.array(s.astype(np.float64))], ["q", "cell", "score"])
+
+    rows = vectors.select("rid", "vec").mapInArrow(run, "q bigint, cell bigint, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc()))
+    kept = rows.filter("q >= 0").withColumn("p", place).filter(F.col("p") <= k).select("q", "cell", "score")
+    counted = rows.filter("q < 0").groupBy("q", "cell").agg(F.sum("score").alias("score"))
+    got = kept.unionByName(counted).toPandas()  # k rows for each of about MEASURED, and one a cell
+    sizes = np.zeros(index.cells, np.int64)
+    own = got[got["q"] < 0]
+    sizes[own["cell"]] = own["score"]
+    index.blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    index.first = np.cumsum(index.blocks) - index.blocks
+    near = got[got["q"] >= 0]
+    routes = index.route(q, index.cells)
+    ranks = (routes[near["q"].to_numpy()] == near["cell"].to_numpy()[:, None]).argmax(axis=1)
+    if floor is None:
+        index.probes = _enough(ranks, COVER, index.cells)
+    else:
+        index.probes = min(index.cells, max(3, _enough(ranks, COVER_CLOSE, index.cells)))
+
+
+# looking for vectors among others
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Of each query the k best, sorted: indices into the arrays, grouped by query."""
     order = np.lexsort((ids, -score, query))
     q = query[order]
@@ -206,212 +313,268 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
     return order[rank < k]
 
 
-def _scan(
-    x: np.ndarray, rid: np.ndarray, base: np.ndarray, base_rid: np.ndarray, base_part: np.ndarray, wanted: list[tuple[int, np.ndarray]],
-    least: np.ndarray, k: int,
-):
-    """Neighbours of ``x`` above ``least`` in the parts ``wanted`` (part, rows that look there): (row, id, score), at most k
-    a row.  The least score of each row rises as its k-th best does."""
-    found: list[tuple] = []
-    least = least.copy()
-    order = np.argsort(base_part, kind="stable")
-    cuts = np.searchsorted(base_part[order], np.arange(int(base_part.max(initial=0)) + 2))
-    for part, rows in wanted:
-        if part + 1 >= len(cuts) or cuts[part] == cuts[part + 1] or not len(rows):
-            continue
-        at = order[cuts[part] : cuts[part + 1]]
-        y, y_rid = base[at], base_rid[at]
-        step = max(1, TILE // len(at))
-        for a in range(0, len(rows), step):
-            block = rows[a : a + step]
-            s = x[block] @ y.T
-            if len(at) > k and np.isneginf(least[block]).any():  # nothing known yet: the k-th best bounds
-                fresh = np.flatnonzero(np.isneginf(least[block]))
-                kth = np.partition(s[fresh], len(at) - k - 1, axis=1)[:, len(at) - k - 1]  # one more: itself may be there
-                least[block[fresh]] = np.nextafter(kth, np.float32(-np.inf))
-            i, j = np.nonzero(s > least[block][:, None])
-            other = y_rid[j] != rid[block[i]]
-            i, j = i[other], j[other]
-            found.append((block[i], y_rid[j], s[i, j]))
-        if len(found) > 1 and sum(len(f[0]) for f in found) > 40 * k * max(len(x), 1):
-            found = [_shrink(found, k, least)]
-    if not found:
+def _above(q: np.ndarray, y: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row of q, row of y, product)`` of the products above ``least``, and not below the k-th of the row."""
+    rows, cols, scores = [], [], []
+    step = max(1, TILE // max(1, len(y)))
+    for a in range(0, len(q), step):
+        s = q[a : a + step] @ y.T
+        bound = least[a : a + step].copy()
+        open_ = np.flatnonzero(np.isneginf(bound))
+        if len(open_) and len(y) > k:  # nothing known yet: the k-th best bounds
+            kth = np.partition(s[open_], len(y) - k, axis=1)[:, len(y) - k]
+            bound[open_] = np.nextafter(kth, np.float32(-np.inf))
+        i, j = np.nonzero(s > bound[:, None])
+        rows.append(i + a)
+        cols.append(j)
+        scores.append(s[i, j])
+    if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    return _shrink(found, k, least)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
-def _shrink(found: list[tuple], k: int, least: np.ndarray):
+def _shrink(found: list[tuple], k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row; ``least`` rises to the last of those that have k."""
     row, ids, score = (np.concatenate(f) for f in zip(*found, strict=True))
     keep = _best(row, ids, score, k)
     row, ids, score = row[keep], ids[keep], score[keep]
     last = np.flatnonzero(np.r_[row[1:] != row[:-1], True]) if len(row) else np.zeros(0, np.int64)
     full = np.bincount(row, minlength=len(least))[row[last]] >= k if len(row) else np.zeros(0, bool)
-    least[row[last[full]]] = np.maximum(least[row[last[full]]], score[last[full]])
+    at = row[last[full]]
+    least[at] = np.maximum(least[at], np.nextafter(score[last[full]], np.float32(-np.inf)))
     return row, ids, score
 
 
-def _wanted(routes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def _by_column(routes: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """The rows of each part, parts in order."""
     rows = np.repeat(np.arange(len(routes)), routes.shape[1])
-    parts = routes.ravel()
-    order = np.argsort(parts, kind="stable")
-    values, start = np.unique(parts[order], return_index=True)
+    order = np.argsort(routes.ravel(), kind="stable")
+    values, start = np.unique(routes.ravel()[order], return_index=True)
     return list(zip(values.tolist(), np.split(rows[order], start[1:]), strict=True))
 
 
-def _results(rid: np.ndarray, row: np.ndarray, ids: np.ndarray, score: np.ndarray, cells: int) -> pa.RecordBatch:
-    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    ends = np.r_[start[1:], len(row)]
-    own = rid[row[start]] if len(row) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array((own % cells).astype(np.int32)),
-            pa.array(np.full(len(start), 2, np.int8)),
-            pa.array(own, pa.int64()),
-            pa.array([ids[a:b].tobytes() for a, b in zip(start, ends)], pa.binary()),
-            pa.array([score[a:b].astype(np.float32).tobytes() for a, b in zip(start, ends)], pa.binary()),
-            pa.nulls(len(start), pa.float32()),
-        ],
-        schema=_ROW,
-    )
-
-
-def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Tables of one value each of a sorted column."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        values = batch.column(batch.schema.get_field_index(column)).to_numpy()
-        a = 0
-        for cut in [*(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]:
-            if a == 0 and held and held[0].column(column)[0].as_py() != values[0]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, cut - a))
-            a = cut
-            if cut < len(values):
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _own_cells(batches: Iterator[pa.RecordBatch], index: Index, k: int) -> Iterator[pa.RecordBatch]:
-    """(cell, rid, vec), sorted by cell -> what each vector finds in its own cell, and itself for the other cells."""
-    for table in _runs(batches, "cell"):
-        cell = table.column("cell")[0].as_py()
-        rid = table.column("rid").to_numpy()
-        x = _vectors(table.column("vec"), index.dim)
-        part = index.own_part(x)
-        for a in range(0, len(x), 8192):
-            some, ids = x[a : a + 8192], rid[a : a + 8192]
-            routes = index.route(some)
-            here = np.where(
-                (index.first_cell[routes] <= cell) & (cell < index.first_cell[routes] + index.blocks[routes]), routes, index.parts
-            )
-            # the own part is looked into first, so that the least score is good early: by the order of probability
-            least = np.full(len(some), -np.inf, np.float32)
-            own = [(p, r) for p, r in _wanted(here[:, :1]) if p < index.parts]
-            row, found, score = _scan(some, ids, x, rid, part, own, least, k)
-            raised = np.full(len(some), -np.inf, np.float32)
-            if len(row):
-                last = np.flatnonzero(np.r_[row[1:] != row[:-1], True])
-                full = np.bincount(row, minlength=len(some))[row[last]] >= k
-                raised[row[last[full]]] = score[last[full]]
-            rest = [(p, r) for p, r in _wanted(here[:, 1:]) if p < index.parts] if here.shape[1] > 1 else []
-            more = _scan(some, ids, x, rid, part, rest, raised, k)
-            row, found, score = _shrink([(row, found, score), more], k, raised)
-            yield _results(ids, row, found, score, index.cells)
-            yield from _travellers(some, ids, routes, raised, cell, index)
-
-
-def _travellers(x, rid, routes, least, cell, index: Index) -> Iterator[pa.RecordBatch]:
-    """Each vector to each other cell that holds a part to look into, as it is: scores found there are
-    ranked beside those of the own cell."""
-    vec = [v.tobytes() for v in x.astype(np.float32)]
-    row = np.repeat(np.arange(len(x)), routes.shape[1])
-    part = routes.ravel().astype(np.int64)
-    times = index.blocks[part]
-    row, part = np.repeat(row, times), np.repeat(part, times)
-    nth = np.arange(len(part)) - np.repeat(np.cumsum(times) - times, times)
-    to = index.first_cell[part] + nth
-    row, part, to = row[to != cell], part[to != cell], to[to != cell]
-    order = np.lexsort((part, to, row))
-    row, part, to = row[order], part[order], to[order]
-    start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (to[1:] != to[:-1])]) if len(row) else np.zeros(0, int)
-    ends = np.r_[start[1:], len(row)]
-    for a in range(0, len(start), 20_000):
-        s, e = start[a : a + 20_000], ends[a : a + 20_000]
+class Cell:
+    """The vectors of a cell, in parts, and the classifier to them: the second level.  All of it is made in one task."""
+
+    def __init__(self, x: np.ndarray, rid: np.ndarray, k: int, floor: float | None):
+        self.k, self.floor = k, floor
+        levels = int(np.floor(np.log2(max(1, len(x) / PART_ROWS))))
+        self.parts = 1 << levels if levels > 1 else 1
+        self.probes, self.measured = self.parts, False
+        part = np.zeros(len(x), np.int64)
+        if self.parts > 1:
+            lot = np.argsort(_mixed(rid), kind="stable")[:LOCAL_SAMPLE]
+            sample = x[lot]
+            graph = neighbour_graph(sample, GRAPH_K)
+            self.router = fit_router(sample, graph, balanced_partition(sample, graph, levels), self.parts, epochs=6)
+            part = np.concatenate([self.router.logits(x[a : a + 8192]).argmax(axis=1) for a in range(0, len(x), 8192)])
+        order = np.argsort(part, kind="stable")
+        self.x, self.rid = x[order], rid[order]
+        self.cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
+        self.part = part[order]
+
+    def _measure(self, q: np.ndarray, qid: np.ndarray, least: np.ndarray) -> None:
+        """The first vectors that are looked for are compared with the whole cell."""
+        self.measured = True
+        i, j, s = _above(q, self.x, least.copy(), self.k + 1)
+        other = self.rid[j] != qid[i]
+        i, j, s = i[other], j[other], s[other]
+        keep = _best(i, j, s, self.k)
+        routes = _top(self.router.logits(q), self.parts)
+        ranks = (routes[i[keep]] == self.part[j[keep]][:, None]).argmax(axis=1)
+        cover, few = (COVER, 4) if self.floor is None else (COVER_CLOSE, max(4, self.parts // 8))
+        self.probes = min(self.parts, max(few, _enough(ranks, cover, self.parts)))
+
+    def look(self, q: np.ndarray, qid: np.ndarray, least: np.ndarray):
+        """``(row, id, score)``: what is above ``least``, at most k a row (all of it with a floor), in double precision."""
+        bound = np.where(np.isfinite(least), least - SLACK, -np.inf).astype(np.float32)
+        if self.parts > 1 and not self.measured and len(q):
+            self._measure(q[:LOCAL_MEASURED], qid[:LOCAL_MEASURED], bound[:LOCAL_MEASURED])
+        keep = self.k + MARGIN
+        routes = _top(self.router.logits(q), self.probes) if self.parts > 1 else np.zeros((len(q), 1), np.int64)
+        found: list[tuple] = []
+        # the most probable part first, so that the least score is good early
+        for some in (routes[:, :1], routes[:, 1:]) if self.floor is None and routes.shape[1] > 1 else (routes,):
+            for part, rows in _by_column(some):
+                a, b = self.cuts[part], self.cuts[part + 1]
+                if a == b:
+                    continue
+                i, j, s = _above(q[rows], self.x[a:b], bound[rows], keep + 1)
+                found.append((rows[i], a + j, s))
+                if self.floor is None and sum(len(f[0]) for f in found) > 40 * keep * max(len(q), 1):
+                    found = [self._others(found, qid)]
+                    found = [_shrink(found, keep, bound)]
+            if self.floor is None and found:
+                found = [_shrink([self._others(found, qid)], keep, bound)]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        row, at, _ = self._others(found, qid)
+        exact = np.empty(len(row))
+        for a in range(0, len(row), 200_000):
+            x, y = q[row[a : a + 200_000]].astype(float), self.x[at[a : a + 200_000]].astype(float)
+            norms = np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)
+            exact[a : a + 200_000] = np.einsum("ij,ij->i", x, y) / np.sqrt(norms)
+        ids = self.rid[at]
+        good = np.flatnonzero(exact >= least[row])
+        best = good if self.floor is not None else good[_best(row[good], ids[good], exact[good], self.k)]
+        return row[best], ids[best], exact[best]
+
+    def _others(self, found: list[tuple], qid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, at, s = (np.concatenate(f) for f in zip(*found, strict=True))
+        other = self.rid[at] != qid[row]
+        return row[other], at[other], s[other]
+
+
+#: role: 0 a vector of the cell, 1 one that is looked for too, 2 one of another cell that is looked for here
+_ROW = pa.schema([("slot", pa.int32()), ("role", pa.int8()), ("rid", pa.int64()), ("vec", pa.binary()), ("least", pa.float64())])
+_ROW_SQL = "slot int, role tinyint, rid bigint, vec binary, least double"
+_FOUND_SQL = "rid bigint, ids binary, scores binary"
+
+
+def _placed(names, slot, role, rid, vec: pa.Array, at, least) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(at), 20_000):
+        cut = slice(a, a + 20_000)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(to[s].astype(np.int32)),
-                pa.array(np.ones(len(s), np.int8)),
-                pa.array(rid[row[s]]),
-                pa.array([vec[i] for i in row[s]], pa.binary()),
-                pa.array([part[i:j].astype(np.int16).tobytes() for i, j in zip(s, e)], pa.binary()),
-                pa.array(least[row[s]]),
+                pa.array(names[slot[cut]].astype(np.int32)),
+                pa.array(np.broadcast_to(role, len(at))[cut].astype(np.int8)),
+                pa.array(rid[at[cut]]),
+                vec.take(pa.array(at[cut])),
+                pa.array(least[at[cut]]),
             ],
             schema=_ROW,
         )
 
 
-def _other_cells(batches: Iterator[pa.RecordBatch], index: Index, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows of whole cells, the cell's vectors first -> what travellers find there; found neighbours pass."""
-    cell, base, base_rid, base_part = None, [], [], None
-    waiting: list[pa.RecordBatch] = []
-
-    def look() -> Iterator[pa.RecordBatch]:
-        nonlocal base, base_rid, base_part, waiting
-        if not waiting or not base:
-            waiting = []
-            return
-        if base_part is None:
-            base, base_rid = [np.concatenate(base)], [np.concatenate(base_rid)]
-            base_part = index.own_part(base[0])
-        t = pa.Table.from_batches(waiting)
+def _homes(batches: Iterator[pa.RecordBatch], index: Index, asks: bool) -> Iterator[pa.RecordBatch]:
+    """(rid, vec) -> each vector in its cell, once for each salt; with ``asks`` it is looked for in one of them."""
+    names = index.names()
+    for b in batches:
+        rid, x = b.column(0).to_numpy(), _vectors(b.column(1), index.dim)
+        cell = index.own(x)
+        block = index.first[cell] + _mixed(rid) % index.blocks[cell]
+        at = np.repeat(np.arange(len(x)), index.salts)
+        salt = np.tile(np.arange(index.salts), len(x))
+        mine = (_mixed(rid + 1) % index.salts)[at] == salt
+        yield from _placed(names, block[at] * index.salts + salt, mine & asks, rid, b.column(1), at, np.full(len(x), np.nan))
+
+
+def _travels(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    """(rid, vec, least) -> each vector to the other blocks of the cells to look into."""
+    names = index.names()
+    for b in batches:
+        rid, x = b.column(0).to_numpy(), _vectors(b.column(1), index.dim)
+        least = b.column(2).to_numpy(zero_copy_only=False)
+        routes = index.route(x, index.probes)
+        own = index.first[routes[:, 0]] + _mixed(rid) % index.blocks[routes[:, 0]]
+        at = np.repeat(np.arange(len(x)), routes.shape[1])
+        times = index.blocks[routes.ravel()]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        at, block = np.repeat(at, times), np.repeat(index.first[routes.ravel()], times) + nth
+        away = block != own[at]
+        at, block = at[away], block[away]
+        slot = block * index.salts + (_mixed(rid + 1) % index.salts)[at]
+        yield from _placed(names, slot, np.int8(2), rid, b.column(1), at, least)
+
+
+def _look(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor: float | None) -> Iterator[tuple]:
+    """Rows sorted by slot and role -> (ids, vectors, row, id, score) for blocks of vectors looked for."""
+    slot, cell, base, waiting = None, None, [], []
+
+    def built() -> Cell:
+        nonlocal cell, base
+        if cell is None:
+            t = pa.Table.from_batches(base)
+            base = []
+            x, rid = _vectors(t.column("vec"), dim), t.column("rid").to_numpy()
+            asks = t.column("role").to_numpy() == 1
+            order = np.argsort(rid)  # whatever order the shuffle brought
+            cell = Cell(x[order], rid[order], k, floor)
+            cell.asking = x[asks], rid[asks]
+        return cell
+
+    def own() -> Iterator[tuple]:
+        if base:
+            x, rid = built().asking
+            for a in range(0, len(x), 8192):
+                q, qid = x[a : a + 8192], rid[a : a + 8192]
+                yield qid, q, *cell.look(q, qid, np.full(len(q), -np.inf if floor is None else floor))
+
+    def others() -> Iterator[tuple]:
+        nonlocal waiting
+        if waiting and cell is not None:
+            t = pa.Table.from_batches(waiting)
+            q, qid, least = _vectors(t.column("vec"), dim), t.column("rid").to_numpy(), t.column("least").to_numpy()
+            yield qid, q, *cell.look(q, qid, np.where(np.isnan(least), -np.inf if floor is None else floor, least))
         waiting = []
-        x = _vectors(t.column("a"), index.dim)
-        rid, least = t.column("rid").to_numpy(), t.column("least").to_numpy()
-        lists = [np.frombuffer(b, np.int16) for b in t.column("b").to_pylist()]
-        rows = np.repeat(np.arange(len(x)), [len(b) for b in lists])
-        parts = np.concatenate(lists).astype(np.int64)
-        order = np.argsort(parts, kind="stable")
-        values, start = np.unique(parts[order], return_index=True)
-        wanted = list(zip(values.tolist(), np.split(rows[order], start[1:]), strict=True))
-        row, ids, score = _scan(x, rid, base[0], base_rid[0], base_part, wanted, least, k)
-        yield _results(rid, row, ids, score, index.cells)
 
     for batch in batches:
         if not len(batch):
             continue
-        cells, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        key = cells.astype(np.int64) * 4 + roles
+        slots, away = batch.column(0).to_numpy(), batch.column(1).to_numpy() == 2
+        key = slots.astype(np.int64) * 2 + away
         a = 0
         for b in [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]:
-            part = batch.slice(a, b - a)
-            if cells[a] != cell:
-                yield from look()
-                cell, base, base_rid, base_part = cells[a], [], [], None
-            if roles[a] == 0:
-                base.append(_vectors(part.column(3), index.dim))
-                base_rid.append(part.column(2).to_numpy())
-            elif roles[a] == 1:
-                waiting.append(part)
+            if slots[a] != slot:
+                yield from own()
+                yield from others()
+                slot, cell, base = slots[a], None, []
+            if away[a]:
+                yield from own()
+                waiting.append(batch.slice(a, b - a))
                 if sum(map(len, waiting)) >= 8192:
-                    yield from look()
+                    yield from others()
             else:
-                yield part
+                base.append(batch.slice(a, b - a))
             a = b
-    yield from look()
+    yield from own()
+    yield from others()
+
+
+def _lists(rid: np.ndarray, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Ids and scores of each row as binary; rows are grouped."""
+    cuts = np.searchsorted(row, np.arange(len(rid) + 1)).astype(np.int32)
+    offsets = pa.py_buffer(cuts * 8)
+
+    def packed(values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(rid), [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+
+    return packed(ids.astype(np.int64)), packed(score.astype(np.float64))
+
+
+def _found(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor: float | None) -> Iterator[pa.RecordBatch]:
+    for rid, _, row, ids, score in _look(batches, dim, k, floor):
+        order = np.argsort(row, kind="stable")
+        row, ids, score = row[order], ids[order], score[order]
+        some = np.unique(row)
+        lists = _lists(some, np.searchsorted(some, row), ids, score)
+        yield pa.RecordBatch.from_arrays([pa.array(rid[some]), *lists], ["rid", "ids", "scores"])
+
+
+def _found_at_home(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The same with the vector, and the least score that still counts elsewhere."""
+    for rid, q, row, ids, score in _look(batches, dim, k, None):
+        order = np.argsort(row, kind="stable")
+        row, ids, score = row[order], ids[order], score[order]
+        least = np.full(len(rid), -np.inf)
+        last = np.flatnonzero(np.r_[row[1:] != row[:-1], True]) if len(row) else np.zeros(0, np.int64)
+        full = np.bincount(row, minlength=len(rid))[row[last]] >= k if len(row) else np.zeros(0, bool)
+        least[row[last[full]]] = score[last[full]]
+        for a in range(0, len(rid), 4096):
+            b = min(a + 4096, len(rid))
+            cut = slice(*np.searchsorted(row, [a, b]))
+            lists = _lists(rid[a:b], row[cut] - a, ids[cut], score[cut])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rid[a:b]), _binary(q[a:b]), pa.array(least[a:b]), *lists], ["rid", "vec", "least", "ids", "scores"]
+            )
 
 
 def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Found neighbours, sorted by vector -> the k best of each."""
-    for batch in _whole_vectors(batches):
-        rid = batch.column("rid").to_numpy()
-        lists = [np.frombuffer(x, np.int64) for x in batch.column("a").to_pylist()]
-        scores = [np.frombuffer(x, np.float32) for x in batch.column("b").to_pylist()]
+    for table in _whole_vectors(batches):
+        rid = table.column("rid").to_numpy()
+        lists = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
+        scores = [np.frombuffer(x, np.float64) for x in table.column("scores").to_pylist()]
         owner = np.repeat(rid, [len(x) for x in lists])
         ids, score = np.concatenate(lists), np.concatenate(scores)
         keep = _best(owner, ids, score, k)
@@ -434,70 +597,66 @@ def _whole_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def nearest(vectors: DataFrame, dim: int, k: int, index: Index | None = None) -> DataFrame:
-    """``(a, b, score)``: for every distinct vector (column rid) its k most similar others, by cosine."""
-    spark = vectors.sparkSession
-    index = index or fit_index(vectors, dim)
-    shared = spark.sparkContext.broadcast(index)  # depends on the number of parts, not of vectors
-    tasks = max(parallelism(spark), index.cells)
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        owner = np.repeat(b.column(0).to_numpy(), [len(x) for x in lists])
+        other = np.concatenate([*lists, np.zeros(0, np.int64)])
+        score = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64)
+        low, high = np.minimum(owner, other), np.maximum(owner, other)
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(score)], ["a", "b", "score"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        for b in batches:
-            x, rid = _vectors(b.column(1), ix.dim), b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ix.own_cell(ix.own_part(x), rid).astype(np.int32)), b.column(0), b.column(1)], ["cell", "rid", "vec"]
-            )
-
-    placed = vectors.select("rid", "vec").mapInArrow(place, "cell int, rid bigint, vec binary")
-    own = (
-        placed.repartition(tasks, "cell")
-        .sortWithinPartitions("cell")
-        .mapInArrow(lambda b: _own_cells(b, shared.value, k), _ROW_SQL)
-    )
-    if index.cells > 1:
-        here = placed.select(
-            "cell",
-            F.lit(0).cast("tinyint").alias("role"),
-            "rid",
-            F.col("vec").alias("a"),
-            F.lit(None).cast("binary").alias("b"),
-            F.lit(None).cast("float").alias("least"),
-        )
-        own = (
-            own.unionByName(here)
-            .repartition(tasks, "cell")
-            .sortWithinPartitions("cell", "role")
-            .mapInArrow(lambda b: _other_cells(b, shared.value, k), _ROW_SQL)
-        )
-    found = own.select("rid", "a", "b").repartition(parallelism(spark), "rid").sortWithinPartitions("rid")
-    return found.mapInArrow(lambda b: _merge(b, k), "a bigint, b bigint, score float")
 
+def _in_slots(rows: DataFrame, index: Index) -> DataFrame:
+    return rows.repartition(max(index.slots, 1), "slot").sortWithinPartitions("slot", "role", "rid")
 
-def _exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """``(a, b, score)`` with the cosine of the stored vectors in double precision."""
 
-    def side(name: str, df: DataFrame) -> DataFrame:
-        few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        v = vectors.select(F.col("rid").alias(name), F.col("vec").alias(f"v{name}"))
-        return v.join(F.broadcast(df) if few else df, name)
-
-    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            x, y = _vectors(t.column(2), dim).astype(float), _vectors(t.column(3), dim).astype(float)
-            score = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(score)], ["a", "b", "score"])
+def nearest(vectors: DataFrame, dim: int, k: int, index: Index | None = None) -> DataFrame:
+    """``(a, b, score)``: for every distinct vector (column rid) its k most similar others, by cosine.
 
-    both = side("b", materialize(side("a", pairs.select("a", "b")).select("a", "b", "va"), "pairs"))
-    return both.select("a", "b", "va", "vb").mapInArrow(dot, "a bigint, b bigint, score double")
+    Each is first looked for in its own cell; then, with the least score that still counts, in the others, from where little
+    comes back."""
+    spark = vectors.sparkSession
+    index = index or fit_index(vectors, dim, k)
+    shared = spark.sparkContext.broadcast(index)
+    rows = vectors.select("rid", "vec")
+    home = _in_slots(rows.mapInArrow(lambda b: _homes(b, shared.value, True), _ROW_SQL), index).mapInArrow(
+        lambda b: _found_at_home(b, dim, k), "rid bigint, vec binary, least double, ids binary, scores binary"
+    )
+    found = home = materialize(home, "home")
+    if index.probes > 1 or index.blocks.max() > 1:
+        base = rows.mapInArrow(lambda b: _homes(b, shared.value, False), _ROW_SQL)
+        away = home.select("rid", "vec", "least").mapInArrow(lambda b: _travels(b, shared.value), _ROW_SQL)
+        more = _in_slots(base.unionByName(away), index).mapInArrow(lambda b: _found(b, dim, k, None), _FOUND_SQL)
+        found = home.select("rid", "ids", "scores").unionByName(more)
+    found = found.select("rid", "ids", "scores").repartition(parallelism(spark), "rid").sortWithinPartitions("rid")
+    return found.mapInArrow(lambda b: _merge(b, k), "a bigint, b bigint, score double")
+
+
+def close_pairs(vectors: DataFrame, dim: int, k: int, floor: float, index: Index | None = None) -> DataFrame:
+    """``(a, b, score)``, a < b: pairs of distinct vectors with a cosine of at least ``floor``.
+
+    The same index, looked into once: the least score that counts is known from the start, so nothing else comes back."""
+    index = index or fit_index(vectors, dim, k, floor)
+    shared = vectors.sparkSession.sparkContext.broadcast(index)
+    rows = vectors.select("rid", "vec")
+    placed = rows.mapInArrow(lambda b: _homes(b, shared.value, True), _ROW_SQL)
+    if index.probes > 1 or index.blocks.max() > 1:
+        free = rows.withColumn("least", F.lit(float("nan")))
+        placed = placed.unionByName(free.mapInArrow(lambda b: _travels(b, shared.value), _ROW_SQL))
+    found = _in_slots(placed, index).mapInArrow(lambda b: _found(b, dim, k, floor), _FOUND_SQL)
+    pairs = found.mapInArrow(_unpacked, "a bigint, b bigint, score double")
+    return pairs.groupBy("a", "b").agg(F.max("score").alias("score"))  # found from either side
 
 
 def similar_vectors(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 10) -> DataFrame:
     """``(key, neighbour, score, place)``: for every row the k rows with the most similar vectors, by cosine.
 
     Vectors that are null, not of ``dim`` numbers, all zero, or hold a null, NaN or infinite number take no part; nor do
-    rows without a key.  A key counts once.  Of equal scores the smaller key comes first.  Approximate: neighbours in parts
-    that aren't looked into are missed.  An empty table gives no row; other columns are ignored.
+    rows without a key.  A key counts once.  Scores are exact, in double precision, of the unit vectors in single precision.  Of
+    equal scores in a list the smaller key comes first; where different vectors tie for the last place, one of them is
+    taken.  Approximate: neighbours in parts that aren't looked into are missed.  An empty table gives no row; other
+    columns are ignored.
     """
     vectors = distinct_vectors(df, key, vector, dim, k + 1)
     near = materialize(nearest(vectors, dim, k), "near")
@@ -513,9 +672,7 @@ def _further_copies(df: DataFrame, key: str, vector: str, dim: int, k: int, ofte
         for b in batches:
             x, good = _unit(b.column(1), dim)
             at = np.flatnonzero(good)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), pa.array([x[i].tobytes() for i in at], pa.binary())], ["key", "vec"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), _binary(x[at])], ["key", "vec"])
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(vector).alias("vec")).filter(
         F.col("key").isNotNull() & (F.size("vec") == dim)
@@ -531,7 +688,7 @@ def _further_copies(df: DataFrame, key: str, vector: str, dim: int, k: int, ofte
 def _rows_of(near: DataFrame, vectors: DataFrame, k: int, key: str) -> DataFrame:
     """Neighbours of distinct vectors -> neighbours of the rows that have them (of each vector its first k + 1 keys)."""
     ids = vectors.select(F.col("rid").alias("b"), F.col("ids").alias("theirs"))
-    others = near.join(ids, "b").select("a", F.explode("theirs").alias("neighbour"), F.col("score").cast("double").alias("score"))
+    others = near.join(ids, "b").select("a", F.explode("theirs").alias("neighbour"), "score")
     own = vectors.filter(F.size("ids") > 1).select(
         F.col("rid").alias("a"), F.explode("ids").alias("neighbour"), F.lit(1.0).alias("score")
     )
@@ -547,9 +704,36 @@ def mutual_pairs(df: DataFrame, key: str, vector: str, least: float, dim: int =
     least ``least``.  Cases as in :func:`similar_vectors`; of more than k + 1 rows with an equal vector only the first
     k + 1 can be in anybody's list."""
     vectors = distinct_vectors(df, key, vector, dim, k + 1)
-    close = nearest(vectors, dim, k).filter(F.col("score") >= least - 1e-3)
     # all that rank before a close one are closer still, so lists of close ones are enough
-    close = _exact(materialize(close, "close"), vectors, dim).filter(F.col("score") >= least)
-    rows = _rows_of(materialize(close, "exact"), vectors, k, "key")
+    close = materialize(close_pairs(vectors, dim, k, least), "close")
+    both = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    # only vectors with a close one, or with copies, matter from here on
+    some = both.select(F.col("a").alias("rid")).distinct()
+    few = close.count() <= BROADCAST_ROWS
+    paired = vectors.join(F.broadcast(some) if few else some, "rid", "left_semi").select("rid", "ids")
+    copied = vectors.filter(F.size("ids") > 1).select("rid", "ids")
+    held = materialize(paired.unionByName(copied).dropDuplicates(["rid"]), "held")
+    rows = _rows_of(both, held, k, "key")
     pairs = rows.select(F.least("key", "neighbour").alias("a"), F.greatest("key", "neighbour").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("a", "b")
+
+
+def recall(df: DataFrame, key: str, vector: str, number: str, every: int, dim: int = 64, k: int = 10) -> DataFrame:
+    """``(key, found, asked)`` for the rows whose ``number`` is divisible by ``every``: their k most similar rows are looked
+    for in all rows by brute force; ``found`` of the ``asked`` places of :func:`similar_vectors` hold a row as similar."""
+    one = df.filter(F.col(key).isNotNull() & (F.size(vector) == dim)).groupBy(F.col(key).cast("string").alias("chunk_id"))
+    held = one.agg(F.first(vector).alias("embedding"), F.min(number).alias("seq"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = F.transform("embedding", lambda x: (x.cast("double") / F.col("n")).cast("float"))
+    usable = held.withColumn("n", norm).filter((F.col("n") > 0) & (F.col("n") < float("inf"))).withColumn("embedding", unit)
+    usable = materialize(usable.drop("n"), "usable")
+    asked = usable.filter(F.col("seq") % every == 0).select(F.col("seq").alias("query_id"), "chunk_id", F.col("embedding").alias("qvec"))
+    near = knn_batch(usable, asked, "cosine", k + 1).select("query_id", F.col("chunk_id").alias("neighbour"), "score")
+    near = near.join(asked.select("query_id", "chunk_id"), "query_id").filter("chunk_id <> neighbour")
+    place = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("score").desc()))
+    true = near.withColumn("p", place).filter(F.col("p") <= k).groupBy("chunk_id").agg(F.min("score").alias("last"), F.count(F.lit(1)).alias("asked"))
+    listed = similar_vectors(df.select(key, vector), key, vector, dim, k).select(F.col(key).alias("chunk_id"), "score")
+    hits = true.join(listed, "chunk_id", "left").groupBy("chunk_id", "asked").agg(
+        F.count(F.when(F.col("score") >= F.col("last") - 1e-6, 1)).alias("found")
+    )
+    return hits.select(F.col("chunk_id").alias(key), F.least("found", "asked").alias("found"), "asked")

@@ -153,36 +153,60 @@ def truth(x, k):
     return s, np.argsort(-s, axis=1, kind="stable")[:, :k]
 
 
+def small_cells(monkeypatch):
+    for name, value in (("CELL_ROWS", 300), ("PART_ROWS", 20), ("LEAST_SAMPLE", 1000), ("BLOCK_ROWS", 400), ("TASK_QUERIES", 500)):
+        monkeypatch.setattr(similar, name, value)
+
+
 def test_recall_of_the_index(spark, monkeypatch):
-    monkeypatch.setattr(similar, "PART_ROWS", 40)
-    monkeypatch.setattr(similar, "CELL_ROWS", 300)
+    """Several cells, some in blocks, and several tasks a cell; neighbours by brute force."""
+    small_cells(monkeypatch)
     x = vectors(2500)
-    near = table(spark, x)
-    held = distinct_vectors(near, "id", "v", 8, 6)
-    index = similar.fit_index(held, 8, sample=1000, part_rows=40)
-    assert index.parts == 32 and index.cells > 4
+    held = distinct_vectors(table(spark, x), "id", "v", 8, 6)
+    index = similar.fit_index(held, 8, 5)
+    assert index.cells == 8 and index.probes > 1
+    index.salts = 2  # two tasks share what is looked for in a cell
+    index.blocks[2] = 2  # a cell of two tasks of its own
+    index.first = np.cumsum(index.blocks) - index.blocks
     rows = similar.nearest(held, 8, 5, index).collect()
     ids = {r["rid"]: int(r["ids"][0][1:]) for r in held.collect()}
-    _, want = truth(x, 5)
+    s, want = truth(x, 5)
     got = {}
     for r in rows:
         got.setdefault(ids[r["a"]], set()).add(ids[r["b"]])
+        assert abs(r["score"] - s[ids[r["a"]], ids[r["b"]]]) < 1e-8  # of vectors in single precision, wherever it was found
     assert all(len(v) == 5 for v in got.values()) and len(got) == len(x)
     assert sum(len(got[n] & set(want[n])) for n in range(len(x))) / want.size >= 0.9
 
 
-def test_scores_of_other_cells_are_whole(spark, monkeypatch):
-    """What is found in another cell has the score of the vectors as stored, not of rounded ones."""
-    monkeypatch.setattr(similar, "PART_ROWS", 40)
-    monkeypatch.setattr(similar, "CELL_ROWS", 300)
-    x = vectors(2500)
+def test_close_pairs(spark, monkeypatch):
+    small_cells(monkeypatch)
+    x = vectors(1500)
+    x = np.r_[x, x[:300] + np.random.default_rng(2).normal(scale=0.03, size=(300, 8))]
     held = distinct_vectors(table(spark, x), "id", "v", 8, 6)
-    index = similar.fit_index(held, 8, sample=1000, part_rows=40)
-    assert index.cells > 4
     ids = {r["rid"]: int(r["ids"][0][1:]) for r in held.collect()}
+    found = {tuple(sorted((ids[r["a"]], ids[r["b"]]))): r["score"] for r in similar.close_pairs(held, 8, 5, 0.98).collect()}
     s, _ = truth(x, 5)
-    rows = similar.nearest(held, 8, 5, index).collect()
-    assert max(abs(r["score"] - s[ids[r["a"]], ids[r["b"]]]) for r in rows) < 1e-6
+    want = {(i, j) for i, j in zip(*np.nonzero(s >= 0.98)) if i < j}
+    assert set(found) <= want and len(found) >= 0.97 * len(want) > 250
+    assert max(abs(s[p] - score) for p, score in found.items()) < 1e-8
+
+
+def test_slots_have_partitions_of_their_own(spark):
+    index = similar.Index(8, 3, salts=5, first=np.arange(3), blocks=np.ones(3, np.int64))
+    names = index.names().tolist()
+    df = spark.createDataFrame([(n,) for n in names], "slot int").repartition(15, "slot")
+    from pyspark.sql import functions as F
+
+    assert df.select(F.spark_partition_id()).distinct().count() == 15
+
+
+def test_recall_by_brute_force(spark):
+    x = vectors(200)
+    rows = [(f"i{n:03}", [float(a) for a in r], n) for n, r in enumerate(x)] + [("bad", None, 0), ("zero", [0.0] * 8, 10)]
+    df = spark.createDataFrame(rows, "id string, v array<float>, seq bigint")
+    got = similar.recall(df, "id", "v", "seq", 10, dim=8, k=4).collect()
+    assert len(got) == 20 and all(r["found"] == r["asked"] == 4 for r in got)
 
 
 def test_small_tables_are_exact(spark):
