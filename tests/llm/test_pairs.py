@@ -174,7 +174,7 @@ def test_recall_of_the_index(spark, monkeypatch):
     got = {}
     for r in rows:
         got.setdefault(ids[r["a"]], set()).add(ids[r["b"]])
-        assert abs(r["score"] - s[ids[r["a"]], ids[r["b"]]]) < 1e-8  # of vectors in single precision, wherever it was found
+        assert abs(r["score"] - s[ids[r["a"]], ids[r["b"]]]) < 1e-7  # of vectors in single precision, wherever it was found
     assert all(len(v) == 5 for v in got.values()) and len(got) == len(x)
     assert sum(len(got[n] & set(want[n])) for n in range(len(x))) / want.size >= 0.9
 
@@ -189,7 +189,7 @@ def test_close_pairs(spark, monkeypatch):
     s, _ = truth(x, 5)
     want = {(i, j) for i, j in zip(*np.nonzero(s >= 0.98)) if i < j}
     assert set(found) <= want and len(found) >= 0.97 * len(want) > 250
-    assert max(abs(s[p] - score) for p, score in found.items()) < 1e-8
+    assert max(abs(s[p] - score) for p, score in found.items()) < 1e-7
 
 
 def test_slots_have_partitions_of_their_own(spark):
