@@ -1,22 +1,25 @@
 """Problem 9: one form for all texts that look the same.
 
-A text's *skeleton* drops what can't be seen and replaces what only differs in code by one character of each shape.  It
-is the same for texts that look the same, but mixes scripts.  So every word of a skeleton gets one spelling: the
-vocabulary of the collection stands in a trie, and a weighted edit automaton walks it, in which look-alikes and
-invisible characters cost nothing and anything else costs more than it has.  The word it arrives at is the spelling; where
-it arrives nowhere, a table spells the word in the script of those of its letters that only one script has.  A spelling
-depends on nothing but the skeleton of the word, so texts that look the same get the same form, and none that
-look different do, whatever the vocabulary holds.
+The words of a text, as they are written, walk a trie of a vocabulary by a weighted edit automaton: what can't be seen costs
+nothing, nor does another character of the same shape; anything else costs more than there is.  The word they arrive at is their
+canonical spelling.  A word that arrives nowhere is normalized by a table, letter by letter.
+
+Letters are alike in two degrees.  *Strongly*: the same shape in any font (Cyrillic ``а``, Greek ``Α``, Cherokee and Lisu
+capitals, width, ligatures); the table knows these too, so texts that differ in nothing else get one form whatever the
+vocabulary holds.  *Weakly*: alike in many fonts (Greek ``α``); only the automaton follows them, as a word that is known says
+which letter is meant.  A spelling depends on the shapes of the word and the vocabulary's words, not on their order or number.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seekstone.session import materialize
 
@@ -27,16 +30,17 @@ LOOKALIKES = (
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capitals
     ("ονϳ", "ovj"),  # Greek small letters
     ("օՕՏԼհց", "oOSLhg"),  # Armenian
-    ("ɡ‐‑", "g--"),  # IPA g, the two hyphens
+    ("ɡɑ‐‑", "ga--"),  # IPA g and a, the two hyphens
 )
 #: Joined letters that are spelled out.
 LIGATURES = "ﬀﬁﬂﬃﬄĲĳǇǈǉǊǋǌ"
 #: Compatibility kinds that change only width, font, or the place in a word.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
-JOINER = "‍"
-#: Words of the collection that the trie holds at most, the most frequent first.  The bound concerns the choice of a
-#: spelling only, never which texts are alike.
+JOINER = "\u200d"
+#: Words of the collection that the trie holds at most, the most frequent first, where no vocabulary is given.
 VOCABULARY = 50_000
+#: Words up to this length are remembered.
+REMEMBERED = 64
 
 
 def _invisible(c: str) -> bool:
@@ -76,92 +80,146 @@ class _Plain(dict):
 
 
 _PLAIN = _Plain()
-_SHAPES = {ord(a): b for above, below in LOOKALIKES for a, b in zip(above, below, strict=True)}
-#: For each script the letters that stand for a Latin shape; the first of a shape wins.
-_BACK: dict[str, dict[str, str]] = {}
-for _above, _below in LOOKALIKES[:5]:
-    for _a, _b in zip(_above, _below, strict=True):
-        _BACK.setdefault(unicodedata.name(_a).split(" ")[0], {}).setdefault(_b, _a)
+_BLANK = re.compile("(\r\n|[\t\n\r\x0b\x0c\x85\u2028\u2029" + "".join(c for c in map(chr, range(0x3001)) if unicodedata.category(c) == "Zs") + "])")
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, " ").split(" ")[0]
 
 
 def _emoji(c: str) -> bool:
     return unicodedata.category(c) == "So" or 0x1F3FB <= ord(c) <= 0x1F3FF
 
 
-def skeleton(text: str) -> str:
-    """Equal for texts that look the same and only for those.  A joiner between two emoji is seen, so it stays."""
-    if text.isascii():
-        plain = text if text.isprintable() else text.translate(_PLAIN)
-    elif JOINER in text:
-        bare = "".join(c for c in text if c == JOINER or not _invisible(c))
-        parts = bare.split(JOINER)
-        kept = parts[0]
-        for part in parts[1:]:
-            if kept and part and _emoji(kept[-1]) and _emoji(part[0]):
-                kept += "" + part
+@cache
+def _prototypes() -> dict[str, str]:
+    """The public list of confusable characters, from the Unicode library that comes with Spark: a letter to the one letter of
+    another script that it is confused with.  Empty where a session is built without that library."""
+    jvm = SparkSession.getActiveSession().sparkContext._jvm
+    letters = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo", "Lm")]
+    letters = [c for c in letters if unicodedata.normalize("NFKD", c) == c]
+    mark = "\ue000"  # for private use, so confused with nothing
+    try:
+        like = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton(mark.join(letters)).split(mark)
+    except TypeError:  # no such package
+        return {}
+    found = {}
+    for c, p in zip(letters, like, strict=True):
+        if len(p) == 1 and p != c and unicodedata.category(p)[0] == "L" and _script(c) != _script(p):
+            kind, other = unicodedata.category(c), unicodedata.category(p)
+            if p == "l" and kind != "Ll":  # the list doesn't tell I from l
+                p, other = "I", "Lu"
+            if not {kind, other} == {"Lu", "Ll"}:  # capitals and small letters look different
+                found[c] = p
+    return found
+
+
+class Looks:
+    """Which letters are alike.  ``prototypes``: further ones than the fixed few, a letter to its like."""
+
+    def __init__(self, prototypes: dict[str, str] | None = None):
+        self.strong = {a: b for above, below in LOOKALIKES for a, b in zip(above, below, strict=True)}
+        self.weak: dict[str, str] = {}
+        for c, p in (prototypes or {}).items():
+            if c in self.strong:
+                continue
+            if "Ll" in (unicodedata.category(c), unicodedata.category(p)):
+                self.weak[c] = p  # small letters differ by font
+            else:
+                self.strong[c] = p
+        for c, p in list(self.strong.items()):
+            self.strong[c] = self.strong.get(p, p)
+        self.weak = {c: self.strong.get(p, p) for c, p in self.weak.items()}
+        #: For each weak shape all that are alike, itself included.
+        self.alike: dict[str, list[str]] = {}
+        for c, p in sorted(self.weak.items()):
+            self.alike.setdefault(p, [p]).append(self.strong.get(c, c))
+        for p, group in list(self.alike.items()):
+            for c in group:
+                self.alike.setdefault(c, group)
+        #: For each script the letters that stand for a shape; the first of a shape wins.
+        self.back: dict[str, dict[str, str]] = {}
+        for c, p in self.strong.items():
+            if c.isalpha() and _script(c) != "LATIN":
+                self.back.setdefault(_script(c), {}).setdefault(p, c)
+
+    def seen(self, word: str) -> Iterator[str]:
+        """The characters of a word as they come, without what can't be seen, in plain width and unjoined; accents in their
+        canonical order behind their letter.  A joiner between two emoji is seen."""
+        marks: list[str] = []
+        before = ""
+        for n, c in enumerate(word):
+            if c == JOINER:
+                after = next((x for x in word[n + 1 :] if x == JOINER or not _invisible(x)), "")
+                plain = JOINER if before and after and _emoji(before) and _emoji(after) else None
+                before = ""
             else:
-                kept += part
-        plain = kept.translate(_PLAIN).replace("", JOINER)
-    else:
-        plain = text.translate(_PLAIN)
-    if "\r" in plain:
-        plain = plain.replace("\r\n", "\n").replace("\r", "\n")
-    if plain.isascii():
-        return plain
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", plain).translate(_SHAPES))
-
-
-def spell(word: str) -> str:
-    """A word of a skeleton in one script, by the table: that of its letters which no other script shares."""
-    scripts = {
-        unicodedata.name(c, " ").split(" ")[0]
-        for c in unicodedata.normalize("NFD", word)
-        if c.isalpha() and not (c.isascii() and any(c in back for back in _BACK.values()))
-    }
-    if len(scripts) == 1 and (back := _BACK.get(scripts.pop())):
-        spelled = "".join(back.get(c, c) for c in unicodedata.normalize("NFD", word))
-        return unicodedata.normalize("NFC", spelled)
-    return word
+                plain = _PLAIN[ord(c)]
+                before = c if plain else before
+            for x in unicodedata.normalize("NFD", plain) if plain else ():
+                if unicodedata.combining(x):
+                    marks.append(x)
+                else:
+                    yield from sorted(marks, key=unicodedata.combining)
+                    marks = []
+                    yield x
+        yield from sorted(marks, key=unicodedata.combining)
+
+    def shape(self, word: str) -> list[str]:
+        return [self.strong.get(c, c) for c in self.seen(word)]
+
+    def spelled(self, shape: list[str]) -> str:
+        """By the table: in the script of those letters that no other script shares."""
+        shared = {c for back in self.back.values() for c in back}
+        scripts = {_script(c) for c in shape if c.isalpha() and c not in shared}
+        back = self.back.get(scripts.pop(), {}) if len(scripts) == 1 else {}
+        return unicodedata.normalize("NFC", "".join(back.get(c, c) for c in shape))
 
 
 class Trie:
-    """Words of the vocabulary; :meth:`find` walks it with an edit automaton of a given budget."""
+    """Words of the vocabulary by their shapes; :meth:`find` walks it with an edit automaton of a given budget."""
 
-    def __init__(self, words: list[str]):
-        # of words that look the same the first counts; the list is sorted by preference
+    def __init__(self, words: list[str], looks: Looks):
+        self.looks = looks
         self.root: dict = {}
         for word in words:
-            node = self.root
-            for shape in _shapes(word):
-                node = node.setdefault(shape, {})
-            node.setdefault(None, word)  # no shape is None
+            node, shape = self.root, looks.shape(word)
+            for c in shape:
+                node = node.setdefault(c, {})
+            if shape:
+                node[None] = looks.spelled(shape)  # no shape is None; words that look the same have one spelling
 
     def find(self, word: str, budget: int = 0) -> str | None:
-        """The vocabulary word within ``budget``, the cheapest.  Look-alikes and ignorables cost 0, other edits 1 each.
+        """The spelling that ``word``, as it is written, arrives at within ``budget``: the cheapest, of these the one by the fewest
+        weak likes.  What can't be seen and look-alikes cost 0, other edits 1 each."""
+        looks = self.looks
+        states: dict[int, tuple[dict, tuple[int, int]]] = {}
 
-        Edges are labelled by shape, so that all look-alikes are one free step."""
-        states: dict[int, tuple[dict, int]] = {}
-
-        def reach(into: dict, node: dict, cost: int) -> None:
+        def reach(into: dict, node: dict, cost: tuple[int, int]) -> None:
             """Enter a state, and those that missing letters lead to."""
-            if cost <= budget and (id(node) not in into or into[id(node)][1] > cost):
+            if cost[0] <= budget and (id(node) not in into or into[id(node)][1] > cost):
                 into[id(node)] = (node, cost)
-                if cost < budget:
+                if cost[0] < budget:
                     for label, child in node.items():
                         if label is not None:
-                            reach(into, child, cost + 1)
-
-        reach(states, self.root, 0)
-        for shape in _shapes(word):
-            after: dict[int, tuple[dict, int]] = {}
-            for node, cost in states.values():
+                            reach(into, child, (cost[0] + 1, cost[1]))
+
+        reach(states, self.root, (0, 0))
+        for c in looks.seen(word):
+            shape = looks.strong.get(c, c)
+            likes = looks.alike.get(shape, ())
+            after: dict[int, tuple[dict, tuple[int, int]]] = {}
+            for node, (cost, weak) in states.values():
                 if shape in node:
-                    reach(after, node[shape], cost)
+                    reach(after, node[shape], (cost, weak))
+                for like in likes:
+                    if like != shape and like in node:
+                        reach(after, node[like], (cost, weak + 1))
                 if cost < budget:
-                    reach(after, node, cost + 1)
+                    reach(after, node, (cost + 1, weak))
                     for label, child in node.items():
                         if label is not None:
-                            reach(after, child, cost + 1)
+                            reach(after, child, (cost + 1, weak))
             states = after
             if not states:
                 return None
@@ -169,93 +227,54 @@ class Trie:
         return min(ends)[1] if ends else None
 
 
-def _units(word: str) -> list[str]:
-    """Letters with their combining marks."""
-    if word.isascii():
-        return list(word)
-    units: list[str] = []
-    for c in word:
-        if units and unicodedata.combining(c):
-            units[-1] += c
-        else:
-            units.append(c)
-    return units
-
-
-def _shape(unit: str) -> str:
-    return unit if unit.isascii() else skeleton(unit)
-
-
-def _shapes(word: str) -> list[str]:
-    """The shapes of a word's units, without what can't be seen.  A joiner that :func:`skeleton` keeps has its own."""
-    units = _units(word)
-    if JOINER in word:
-        units = _units("".join(c for c in word if c == JOINER or not _invisible(c)))
-    shapes = []
-    for n, unit in enumerate(units):
-        if unit == JOINER:
-            if 0 < n < len(units) - 1 and _emoji(units[n - 1][-1]) and _emoji(units[n + 1][0]):
-                shapes.append(JOINER)
-        elif shape := _shape(unit):
-            shapes.append(shape)
-    return shapes
-
-
-def well_spelled(word: str) -> bool:
-    """Fit for the vocabulary: spelled as the table would, composed, without anything invisible."""
-    return spell(skeleton(word)) == word or (
-        len({unicodedata.name(c, " ").split(" ")[0] for c in word if c.isalpha()}) == 1
-        and unicodedata.normalize("NFC", word) == word
-        and word.translate(_PLAIN) == word
-    )
-
-
 class Speller:
     """Forms of texts, with a memory of words."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.trie = Trie([w for w in vocabulary if well_spelled(w)])
+    def __init__(self, vocabulary: list[str], prototypes: dict[str, str] | None = None):
+        self.looks = Looks(prototypes)
+        self.trie = Trie(vocabulary, self.looks)
         self.known: dict[str, str] = {}
 
     def word(self, word: str) -> str:
-        """One spelling for a word of a skeleton.  Words that ASCII can spell are spelled so."""
-        if word.isascii():
-            return word
+        """By the automaton; what it doesn't find, by the table."""
         found = self.known.get(word)
         if found is None:
-            found = self.trie.find(word) or spell(word)
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = found
+            found = self.trie.find(word)
+            if found is None:
+                found = self.looks.spelled(self.looks.shape(word))
+            if len(word) <= REMEMBERED:
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
     def form(self, text: str) -> str:
-        plain = skeleton(text)
-        if plain.isascii():
-            return plain
-        return "\n".join(" ".join(map(self.word, line.split(" "))) for line in plain.split("\n"))
+        """Blanks are a space or a line break, words their spelling."""
+        parts = _BLANK.split(text)  # words and blanks in turn
+        parts[::2] = map(self.word, parts[::2])
+        parts[1::2] = [" " if b in "\t" or unicodedata.category(b[0]) == "Zs" else "\n" for b in parts[1::2]]
+        return "".join(parts)
 
 
-_SPELLERS: dict[int, Speller] = {}
+_SPELLER: list = [None, None]
 
 
 def _speller(shared) -> Speller:
-    key = id(shared)
-    if key not in _SPELLERS:
-        _SPELLERS.clear()
-        _SPELLERS[key] = Speller(shared.value)
-    return _SPELLERS[key]
+    """One for all tasks of a worker that have the same vocabulary: by its digest, as workers outlive queries."""
+    digest, words, prototypes = shared.value
+    if _SPELLER[0] != digest:
+        _SPELLER[:] = [digest, Speller(words, prototypes)]
+    return _SPELLER[1]
 
 
-def vocabulary(df: DataFrame, text: str, most: int = VOCABULARY) -> list[str]:
-    """The words with a letter beyond ASCII that most records hold, at most ``most``, the most frequent first.
+def vocabulary(df: DataFrame, text: str, most: int = VOCABULARY, least_records: int = 2) -> list[str]:
+    """The words that at least ``least_records`` records hold, at most ``most``, those of most records first.
 
     Counted over all records; only the bounded list comes to the driver."""
     cut = F.array_distinct(F.split(F.col(text), r"(?U)\s+"))
-    beyond = F.filter(cut, lambda w: F.octet_length(w) != F.char_length(w))
-    counted = df.filter(F.octet_length(text) != F.char_length(text)).select(F.explode(beyond).alias("w"))
-    top = counted.groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(most)
-    return [r["w"] for r in top.collect()]
+    short = F.filter(cut, lambda w: (F.char_length(w) <= REMEMBERED) & (w != ""))
+    counted = df.select(F.explode(short).alias("w")).groupBy("w").count().filter(F.col("count") >= least_records)
+    return [r["w"] for r in counted.orderBy(F.col("count").desc(), "w").limit(most).collect()]
 
 
 def _visible(form: str) -> bool:
@@ -269,13 +288,17 @@ def visual_forms(df: DataFrame, key: str, text: str, words: list[str] | None = N
     accents, joined letters, and letters of other scripts or blocks of the same shape make no difference.  Case,
     accents, raised digits, punctuation, digits, the order and number of words and blanks do.  A null text has a null
     form; empty texts and texts without anything visible have a form of blanks.  Repeated rows and a null key stay.
-    An empty table gives no row; other columns are ignored.  ``words``: the vocabulary, else that of the table.
+    An empty table gives no row; other columns are ignored.
+
+    ``words``: the vocabulary; forms of different tables compare if they are made with the same one.  Else that of the table:
+    :func:`vocabulary`.
 
     With ``digests``: ``(key, look, letters)``, 16-byte digests of form and text, null without a visible character.
     """
     if words is None:
         words = vocabulary(df, text)
-    shared = df.sparkSession.sparkContext.broadcast(words)  # at most VOCABULARY words
+    prototypes = _prototypes()  # a few hundred letters
+    shared = df.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(words).encode()).hexdigest(), words, prototypes))
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def digest(x: str) -> bytes:
@@ -300,6 +323,22 @@ def visual_forms(df: DataFrame, key: str, text: str, words: list[str] | None = N
     return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, {out}").withColumnRenamed("key", key)
 
 
+def _looks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, look, letters)``, stored: digests of form and text of the rows that show something."""
+    forms = visual_forms(df, key, text, digests=True).filter("look IS NOT NULL").select(F.col(key).alias("key"), "look", "letters")
+    return materialize(forms, "looks")
+
+
+def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, class, texts)``: each row with a visible character, the least key of those that look the same, and how many
+    different texts these are.  One row per row, however large a class is; cases as in :func:`lookalike_pairs`."""
+    forms = _looks(df, key, text)
+    # a text that a third of all rows have is one row here: combined before the shuffle
+    texts = forms.groupBy("look", "letters").agg(F.min("key").alias("first"))
+    classes = texts.groupBy("look").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("texts"))
+    return forms.join(classes, "look").select(F.col("key").alias(key), "class", "texts")
+
+
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(a, b)``, the smaller key first: rows whose texts look the same but aren't equal code point by code point.
 
@@ -307,8 +346,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     together: texts are paired, then each replaced by the rows that have it; a text that a third of all rows have costs
     nothing until it looks like another.  Null texts and texts without a visible character take no part.
     """
-    forms = visual_forms(df, key, text, digests=True).filter("look IS NOT NULL").select(F.col(key).alias("key"), "look", "letters")
-    forms = materialize(forms, "looks")
+    forms = _looks(df, key, text)
     texts = forms.groupBy("look", "letters").agg(F.min("key").alias("first"))
     several = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("look")
     texts = materialize(texts.join(several, "look", "left_semi").select("look", "letters"), "look-texts")

@@ -140,6 +140,11 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.visual_forms(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: the least document that looks the same."""
+    return lookalike.look_classes(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = lookalike.lookalike_pairs(table(spark, folder, "documents"), "doc_id", "text")
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from seekstone.llm import lookalike
-from seekstone.llm.lookalike import Speller, Trie, lookalike_pairs, skeleton, spell, visual_forms
+from seekstone.llm.lookalike import Looks, Speller, Trie, _prototypes, look_classes, lookalike_pairs, visual_forms
 from seekstone.llm.packing import fill, make_plan, pack
 from seekstone.llm.splitting import split_oversized
 from seekstone.llm.tokenizing import Tree, token_counts, token_ids, vocabulary_path
@@ -160,31 +160,56 @@ ALIKE = [
 UNLIKE = [("a", "A"), ("e", "é"), ("m2", "m²"), ("a b", "a  b"), ("a,b", "a.b"), ("a b", "b a"), ("1", "2"), ("👩‍💻", "👩💻"), ("½", "1⁄2")]
 
 
-def test_alike_and_unlike():
+LOOKS = Looks()
+
+
+def look(text):
+    return [LOOKS.shape(w) if n % 2 == 0 else w.replace("\r\n", "\n").replace("\xa0", " ") for n, w in enumerate(lookalike._BLANK.split(text))]
+
+
+@pytest.mark.parametrize("vocabulary", [[], ["file", "café", "full1", "ガギ", "cocna", "pay", "ao", "ab", "a,b", "m2", "e", "é"]])
+def test_alike_and_unlike(vocabulary):
+    speller = Speller(vocabulary)
     for a, b in ALIKE:
-        assert skeleton(a) == skeleton(b), (a, b)
+        assert speller.form(a) == speller.form(b), (a, b)
     for a, b in UNLIKE:
-        assert skeleton(a) != skeleton(b), (a, b)
+        assert speller.form(a) != speller.form(b), (a, b)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aеоcсé é​ﬁжѕλΑ1² "), max_size=12))
+@given(st.text(alphabet=st.sampled_from("aеоcсé é\u200bﬁжѕλΑ1²\u0301\u0323"), max_size=12))
 def test_forms_keep_the_look(text):
-    speller = Speller(["жара", "λόγος", "été"])
+    speller, table = Speller(["жара", "λόγος", "été"]), Speller([])
     form = speller.form(text)
-    assert skeleton(form) == skeleton(text) and speller.form(form) == form
+    assert look(form) == look(text) and speller.form(form) == form == table.form(text)
 
 
 def test_spelling_by_vocabulary_and_table():
-    trie = Trie(["копия", "été"])
-    assert trie.find("koпия".replace("k", "к")) == "копия" and trie.find("кoп​ия") == "копия"
+    trie = Trie(["копия", "été"], LOOKS)
+    assert trie.find("koпия".replace("k", "к")) == "копия" and trie.find("кoп\u200bия") == "копия"
     assert trie.find("копи") is None and trie.find("копи", budget=1) == "копия"
-    assert spell(skeleton("сода")) == "сода" and spell("cop") == "cop"
+    assert Speller([]).form("cода cop") == "сода cop"
     speller = Speller(["копия"])
     assert speller.form("кoпия и cода") == "копия и сода"
     assert speller.form("раскоп") == speller.form("pacкoп")
 
 
+def test_weak_likes_need_a_known_word():
+    """Without the automaton the form is another one: only a known word tells which letter is meant."""
+    weak = {"α": "a", "γ": "y"}
+    assert Speller([], weak).form("αpple") == "αpple" != Speller(["apple"], weak).form("αpple") == "apple"
+    both = Speller(["αγορά", "ago"], weak)
+    assert both.form("αγορά") == "αγορά" == both.form("aγορά") and both.form("ago") == "ago"
+
+
+def test_letters_of_many_scripts(spark):
+    speller = Speller([], _prototypes())
+    for odd, plain in (("Ⲣart", "Part"), ("Ꭺpple", "Apple"), ("ꓐob", "Bob"), ("Тom", "Tom"), ("Ιn", "In")):
+        assert speller.form(odd) == plain
+    for a, b in (("Il", "lI"), ("O0", "00"), ("З", "3"), ("ı", "i"), ("rn", "m"), ("ø", "o")):
+        assert speller.form(a) != speller.form(b)
+
+
 @pytest.mark.parametrize("order", list(itertools.permutations(["👩‍💻", "👩💻", "👩", "💻"])))
 def test_joined_emoji_of_the_vocabulary(order):
     """The joiner between two emoji is seen: it has a shape of its own and is no end of a word."""
@@ -208,10 +233,22 @@ def test_forms_and_pairs_of_a_table(spark):
     assert forms[0] == forms[1] == forms[2] == "same text" and forms[5] is None and forms[9] == " " and len(forms) == len(texts)
     got = sorted(map(tuple, lookalike_pairs(df, "id", "t").collect()))
     assert got == [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)]
+    classes = {r["id"]: (r["class"], r["texts"]) for r in look_classes(df, "id", "t").collect()}
+    assert classes == {0: (0, 3), 1: (0, 3), 2: (0, 3), 3: (0, 3), 4: (4, 1), 10: (10, 1)}
+    assert look_classes(df.limit(0), "id", "t").count() == 0
     assert lookalike_pairs(df.limit(0), "id", "t").count() == 0 and visual_forms(df.limit(0), "id", "t").count() == 0
 
 
 def test_vocabulary_is_counted_over_records(spark):
-    df = spark.createDataFrame([("été été ascii",), ("été жар",), (None,)], "t string")
-    assert lookalike.vocabulary(df, "t") == ["été", "жар"] and lookalike.vocabulary(df, "t", 1) == ["été"]
+    df = spark.createDataFrame([("été été ascii",), ("été жар ascii",), ("été",), (None,), ("",)], "t string")
+    assert lookalike.vocabulary(df, "t") == ["été", "ascii"] and lookalike.vocabulary(df, "t", 1) == ["été"]
     assert unicodedata.normalize("NFC", "é") == "é"
+
+
+def test_spellers_are_kept_by_their_words():
+    class Shared:
+        def __init__(self, *value):
+            self.value = value
+
+    one = lookalike._speller(Shared("x", ["été"], {}))
+    assert lookalike._speller(Shared("x", ["été"], {})) is one and lookalike._speller(Shared("y", ["жар"], {})) is not one
