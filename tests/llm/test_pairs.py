@@ -93,9 +93,10 @@ def test_common_shingles_go_by_group(spark, monkeypatch):
 
     texts = [(n, r[0], r[2]) for n, r in enumerate(rows)]
     batch = pa.RecordBatch.from_pydict({"rid": [t[0] for t in texts], "kind": [t[1] for t in texts], "text": [t[2] for t in texts]})
-    dealt = list(neardup._deal([batch], 4, 3))
-    kept = list(neardup._keep(list(neardup._count(dealt)), 4, 0.6))
-    part = pa.Table.from_batches(kept).filter(pa.compute.greater_equal(pa.Table.from_batches(kept)["slice"], 0)).to_batches()
+    kept = list(neardup._keep(list(neardup._count(list(neardup._deal([batch], 4, 3)))), 4, 0.6))
+    known = pa.array([[{"doc": 1, "label": 1, "n": 2}, {"doc": 3, "label": 1, "n": 2}]], pa.list_(pa.struct([("doc", pa.int32()), ("label", pa.int64()), ("n", pa.int64())])))
+    matrix = pa.Table.from_batches(kept).drop(["keys"]).append_column("known", known).combine_chunks().to_batches()
+    part = list(neardup._spread(matrix, 4))
     by_group = {tuple(r.values()) for b in neardup._open(neardup._bound(part, 4, 0.6)) for r in b.to_pylist()}
     monkeypatch.setattr(neardup, "SHORT_LIST", 10_000)
     by_pair = {tuple(r.values()) for b in neardup._open(neardup._bound(part, 4, 0.6)) for r in b.to_pylist()}
@@ -123,6 +124,9 @@ def test_components_of_long_chains(spark, monkeypatch):
     df = spark.createDataFrame(links, "u bigint, v bigint")
     got = {r["node"]: r["label"] for r in components(df).collect()}
     assert got == dict.fromkeys(range(1000), 0) | {2000: 2000, 2001: 2000}
+    monkeypatch.setattr(neardup, "SMALL_LINKS", 0)  # by rounds of tables
+    got = {r["node"]: r["label"] for r in components(df).collect()}
+    assert got == dict.fromkeys(range(1000), 0) | {2000: 2000, 2001: 2000}
     monkeypatch.setattr(neardup, "MAX_ROUNDS", 3)
     with pytest.raises(RuntimeError):
         components(df)
