@@ -37,6 +37,8 @@ MATCHES = 4
 BLOCK = 256
 #: Least hashes of a text, how many of these it is compared by before the matrix, and with how many texts in each block.
 SKETCH, COMPARED, REPRESENTATIVES = 4, 2, 6
+#: A least hash that fewer texts have isn't worth it: the matrix compares so few with each other.
+WORTH = 32
 #: Texts of a slice, about.
 SLICE_TEXTS = 20_000
 #: Links up to which one task joins them (16 bytes each); more are joined by rounds of tables.
@@ -700,7 +702,7 @@ def _prelinks(kept: DataFrame, texts: DataFrame, slices: int, width: int, thresh
     """``(u, v)``: links found by few comparisons a text, most of those that join large classes."""
     keys = kept.select("uid", "ids", "keys").mapInArrow(_keys, "key bigint, rid bigint")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high"))
-    counts = materialize(counts.filter("n > 1"), "keys")
+    counts = materialize(counts.filter(F.col("n") >= WORTH), "keys")
     # of each text the keys that most others have
     most = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("n").desc(), "key"))
     few = counts.count() <= BROADCAST_ROWS

@@ -76,6 +76,33 @@ def test_classes_equal_brute_force(spark, seed, threshold, width, least):
         assert r["class"] <= r["key"]
 
 
+@pytest.mark.parametrize("worth", [2, 32])
+def test_large_classes_open_few_groups(spark, monkeypatch, worth):
+    """Variants of one template: what is opened doesn't grow with their number, whether or not small classes are linked first."""
+    monkeypatch.setattr(neardup, "WORTH", worth)
+    stored, real = {}, neardup.materialize
+
+    def spy(df, name):
+        stored[name] = real(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(neardup, "materialize", spy)
+    opened = []
+    for n in (500, 6000):
+        rng, rows = random.Random(4), []
+        for k in range(n):
+            text = [f"t{j}" for j in range(120)]
+            text[rng.randrange(120)] = f"e{rng.randrange(3000)}"
+            rows.append(("chunk", f"k{k:05}", " ".join(text)))
+        rows.append(("chunk", "other", " ".join(f"t{j}" if j < 60 else f"o{j}" for j in range(120))))
+        rows.append(("chunk", "another", " ".join(f"t{j}" if j < 60 else f"a{j}" for j in range(120))))
+        classes = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), "kind", "key", "text", 0.6, 3, 30)
+        sizes = sorted(r["count"] for r in classes.groupBy("class").count().collect())
+        assert sizes == [1, 1, n]
+        opened.append(stored["opened"].count() / n)
+    assert max(opened) < 0.5
+
+
 def test_common_shingles_go_by_group(spark, monkeypatch):
     """Long posting lists take another way with the same result."""
     monkeypatch.setattr(neardup, "SHORT_LIST", 3)
