@@ -9,7 +9,7 @@ A token-group matrix, in steps that each shuffle a compact table once:
 2. each slice counts in how many texts its shingles are; the counts go back to the texts.  Shingles of one text
    only are dropped, and texts left with too few shared shingles to be linked at all.  Of each text, the rarest shingles are
    kept: if two texts are linked, at least ``MATCHES`` of these are in both;
-3. many alike texts are brought together first, by a few comparisons each: texts with an equal least hash of their shared
+3. many alike texts are brought together first, by a few comparisons each: texts with equal least hashes of their shared
    shingles are compared with some others of these, in blocks of bounded size.  This finds links, and misses some;
 4. texts are partitioned into groups of bounded size: what belongs together by step 3, else those that share their rarest
    shared shingle.  The matrix says which groups hold a shingle.  The number of a text's kept shingles in a group's union, plus
@@ -35,9 +35,10 @@ from seekstone.session import materialize, parallelism
 MATCHES = 4
 #: Texts of a group at most, on average.
 BLOCK = 256
-#: Least hashes of a text, how many of these it is compared by before the matrix, and with how many texts in each block.
-SKETCH, COMPARED, REPRESENTATIVES = 4, 2, 6
-#: A least hash that fewer texts have isn't worth it: the matrix compares so few with each other.
+#: Keys of a text, each made of so many least hashes, so that texts that merely share some phrases rarely have an equal one; by how
+#: many of the keys it is compared before the matrix, and with how many texts in each block.
+SKETCH, HASHES, COMPARED, REPRESENTATIVES = 4, 2, 2, 6
+#: A key that fewer texts have isn't worth it: the matrix compares so few with each other.
 WORTH = 32
 #: Texts of a slice, about.
 SLICE_TEXTS = 20_000
@@ -244,10 +245,10 @@ def _keep(batches: Iterator[pa.RecordBatch], slices: int, threshold: float) -> I
         twice = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (token[1:] == token[:-1])], minlength=len(size))
         some = np.flatnonzero(shared)
         keys = np.zeros((SKETCH, len(ids)), np.uint64)
-        for k in range(SKETCH):
+        for k in range(SKETCH * HASHES):
             least = np.zeros(len(size), np.uint64)
             least[some] = np.minimum.reduceat(_mixed((token + np.uint64(k + 1)) * _ODD), first[some])
-            keys[k] = _mixed(least[ids] * _ODD + np.uint64(k))
+            keys[k // HASHES] = _mixed((keys[k // HASHES] + least[ids]) * _ODD + np.uint64(k))
         rarest, times = token[first[ids]], df[first[ids]]
         doc, token, short = doc[keep], token[keep], short[keep]
         slice_of, cell = (token % np.uint64(slices)).astype(np.uint32), (token // np.uint64(slices)).astype(np.uint32)
