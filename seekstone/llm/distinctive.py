@@ -1,17 +1,19 @@
 """Problem 6: how distinctive a word is for each record.
 
 Positive pointwise mutual information of word and record, from joint and marginal counts, by group-bys and joins.
-The contexts are the words; a word's marginal count is the number of records that hold it, raised to a fractional
-exponent, which keeps a word seen once in two records from beating one that a few records repeat::
+``tf`` counts a word in a record; its sums are the marginals: ``length`` over the words of a record, ``occurrences`` over the
+records of a word, T over all.  The words are the contexts, whose counts are smoothed by a fractional exponent::
 
-    ppmi(word, record) = max(0, ln( (tf / length) / (records(word) ** exponent / sum over words) ))
+    ppmi = max(0, ln( (tf / T) / ( (length / T) * (occurrences ** exponent / sum over words of occurrences ** exponent) ) ))
+
+The exponent is 0.5.  At the usual 0.75 a word seen once in two records still beats one that a few records repeat.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seekstone.functions.text import word_counts
+from seekstone.functions.text import words
 from seekstone.session import materialize
 
 #: A word is hot if more than this share of all (record, word) pairs are its own; so there are at most 1,000.
@@ -24,7 +26,7 @@ def distinctive_terms(
     df: DataFrame,
     key: str,
     text: str,
-    exponent: float = 0.75,
+    exponent: float = 0.5,
     min_records: int = 2,
     only: DataFrame | None = None,
     lowercase: bool = True,
@@ -36,36 +38,33 @@ def distinctive_terms(
     Scores are rounded to 9 digits; words with the same counts get the same.  Other columns are ignored, whatever their names.
     """
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    counts = word_counts(narrow, ["key"], "text", lowercase)
-    # read three times below, so it is stored: the words are cut once
-    terms = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("records")), "terms")
-    total = terms.agg(
-        F.sum(F.pow(F.col("records").cast("double"), F.lit(exponent))).alias("mass"), F.sum("records").alias("pairs")
-    ).collect()[0]
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """The length comes with the row, so it needs no shuffle of its own."""
+        cut = rows.select("key", words(F.col("text"), lowercase).alias("w"))
+        each = cut.select("key", F.size("w").alias("length"), F.explode("w").alias("term"))
+        return each.groupBy("key", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+    counts = counted(narrow)
+    # read several times below, so it is stored: the words are cut once
+    totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("records"), F.sum("tf").alias("occurrences"))
+    terms = materialize(totals, "terms")
+    smoothed = F.pow(F.col("occurrences").cast("double"), F.lit(exponent))
+    total = terms.agg(F.sum(smoothed).alias("mass"), F.sum("records").alias("pairs")).collect()[0]
     if not total["pairs"]:
         total = {"mass": 1.0, "pairs": 1}
     # at most 1 / HOT_SHARE rows, whatever the collection's size
     hot = [r["term"] for r in terms.filter(F.col("records") > HOT_SHARE * total["pairs"]).select("term").collect()]
     salt_of = F.when(F.col("term").isin(hot), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(F.lit(0))
     salts_of = F.when(F.col("term").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    scored = narrow
     if only is not None:
-        scored = narrow.join(only.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
-        counts = word_counts(scored, ["key"], "text", lowercase)
-    lengths = counts.groupBy("key").agg(F.sum("tf").alias("length"))
-    probability = F.pow(F.col("records").cast("double"), F.lit(exponent)) / F.lit(float(total["mass"]))
+        counts = counted(narrow.join(only.select(F.col(key).alias("key")).distinct(), "key", "left_semi"))
     stats = terms.filter(F.col("records") >= min_records).withColumn("salt", F.explode(salts_of.cast("array<bigint>")))
+    ratio = F.col("tf") / F.col("length") / (smoothed / F.lit(float(total["mass"])))
     return (
-        counts.join(lengths, "key")
-        .withColumn("salt", salt_of.cast("bigint"))
+        counts.withColumn("salt", salt_of.cast("bigint"))
         .join(stats, ["term", "salt"])
-        .select(
-            F.col("key").alias(key),
-            "term",
-            "tf",
-            "records",
-            F.round(F.greatest(F.lit(0.0), F.log(F.col("tf") / F.col("length") / probability)), 9).alias("score"),
-        )
+        .select(F.col("key").alias(key), "term", "tf", "records", F.round(F.greatest(F.lit(0.0), F.log(ratio)), 9).alias("score"))
     )
 
 

@@ -25,18 +25,32 @@ LEAF_ROWS = 4_000_000
 #: Records whose words are counted at once.
 BATCH_WORDS = 2_000_000
 
+#: Memory of DuckDB in a task: a leaf and its totals.
+MEMORY = "1GB"
+
 _PARTIAL = pa.schema([("radix", pa.int32()), ("term", pa.string()), ("n", pa.int64()), ("r", pa.int64())])
 _COUNTED = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
 def _duckdb():
+    """In memory, and only so much of it: the radix partitions are what goes to disk, and that in the shared folder."""
     import duckdb
 
     con = duckdb.connect()
-    con.execute("SET threads = 1")
+    con.execute(f"SET threads = 1; SET memory_limit = '{MEMORY}'; SET temp_directory = ''")
     return con
 
 
+def _shared(folder: str):
+    """``(file system, path)`` of a folder as Spark names it."""
+    from pyarrow import fs
+
+    scheme, found, rest = folder.partition("://")
+    if not found:
+        return fs.LocalFileSystem(), folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + "://" + rest)
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch], radixes: int) -> Iterator[pa.RecordBatch]:
     con = _duckdb()
 
@@ -78,7 +92,7 @@ def _radix(
     tables: Iterator[pa.Table], folder: str, leaf_rows: int, level: int = 0
 ) -> Iterator[pa.Table]:
     """Totals of the partial counts in ``tables``; what exceeds ``leaf_rows`` goes to disk by further hash bits."""
-    from pyarrow import fs, ipc
+    from pyarrow import ipc
 
     con = _duckdb()
     held, rows, spilled, sink = [], 0, {}, None
@@ -86,7 +100,7 @@ def _radix(
     def spill() -> None:
         nonlocal sink, held, rows
         if sink is None:
-            sink = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+            sink = _shared(folder)
         files, base = sink
         whole = _aggregate(con, held).rename_columns(["term", "n", "r"])  # the same word again costs no more space
         con.register("whole", whole)
@@ -135,16 +149,20 @@ def _radix(
 
 
 def _total_batches(batches: Iterator[pa.RecordBatch], folder: str, leaf_rows: int) -> Iterator[pa.RecordBatch]:
-    own = f"{folder}/radix-{uuid.uuid4().hex}"
-    tables = (pa.Table.from_batches([b]).select(["term", "n", "r"]) for b in batches)
+    own, rows = f"{folder}/radix-{uuid.uuid4().hex}", 0
+
+    def tables() -> Iterator[pa.Table]:
+        nonlocal rows
+        for b in batches:
+            rows += len(b)
+            yield pa.Table.from_batches([b]).select(["term", "n", "r"])
+
     try:
-        for table in _radix(tables, own, leaf_rows):
+        for table in _radix(tables(), own, leaf_rows):
             yield from table.to_batches(max_chunksize=100_000)
     finally:
-        from pyarrow import fs
-
-        files, base = fs.FileSystem.from_uri(own if "://" in own else "file://" + own.removeprefix("file:"))
-        if files.get_file_info(base).type == fs.FileType.Directory:
+        if rows > leaf_rows:  # else nothing went to disk
+            files, base = _shared(own)
             files.delete_dir(base)
 
 

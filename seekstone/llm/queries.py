@@ -162,8 +162,8 @@ _COUNTS = f"""w AS ({_WORDS}), c AS (SELECT id, term, count(*) AS tf FROM w GROU
     f AS (SELECT term, sum(tf)::BIGINT AS occurrences, count(*) AS records FROM c GROUP BY term),
     m AS (SELECT f.*, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.4 * n THEN 'common' END AS mark FROM f, n)"""
 _PPMI = f"""{_COUNTS}, l AS (SELECT id, sum(tf) AS length FROM c GROUP BY id),
-    mass AS (SELECT sum(records ** 0.75) AS mass FROM f),
-    s AS (SELECT c.id, c.term, round(greatest(0, ln(tf / length / (records ** 0.75 / mass))), 9) AS score
+    mass AS (SELECT sum(occurrences ** 0.5) AS mass FROM f),
+    s AS (SELECT c.id, c.term, round(greatest(0, ln(tf / length / (occurrences ** 0.5 / mass))), 9) AS score
         FROM c JOIN l USING (id) JOIN f USING (term), mass WHERE records >= 2),
     best AS (SELECT id AS chunk_id, first(term ORDER BY score DESC, term) AS term FROM s GROUP BY id)"""
 

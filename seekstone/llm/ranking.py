@@ -101,7 +101,7 @@ def _below(runs: DataFrame, value: str) -> DataFrame:
     totals = totals.select("l", "range", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("lower"))
     return (
         runs.withColumn("in", F.coalesce(F.sum(value).over(within), F.lit(0.0)))
-        .join(F.broadcast(totals), ["l", "range"])
+        .join(totals, ["l", "range"])
         .select("l", "s", (F.col("in") + F.col("lower")).alias("below"))
     )
 
@@ -109,7 +109,7 @@ def _below(runs: DataFrame, value: str) -> DataFrame:
 def _walk_big(rows: DataFrame, n_scores: int, damping: float, ranges: int) -> DataFrame:
     """The same walk over few but huge lists, as tables.  Columns l, q, i, s0, s1, ..."""
     sizes = rows.groupBy("l").agg(F.count(F.lit(1)).cast("double").alias("size"))
-    base = rows.join(F.broadcast(sizes), "l").withColumn("id", F.monotonically_increasing_id())
+    base = rows.join(sizes, "l").withColumn("id", F.monotonically_increasing_id())
     for k in range(n_scores):
         base = base.withColumn(f"s{k}", F.when(F.isnan(f"s{k}"), float("-inf")).otherwise(F.col(f"s{k}")))
     base = materialize(base, "walk")
@@ -118,7 +118,7 @@ def _walk_big(rows: DataFrame, n_scores: int, damping: float, ranges: int) -> Da
         points = [j / ranges for j in range(1, ranges)]
         cuts = base.groupBy("l").agg(F.percentile_approx(f"s{k}", points, 100 * ranges).alias("cuts"))
         runs = base.groupBy("l", F.col(f"s{k}").alias("s")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-        runs = runs.join(F.broadcast(cuts), "l")
+        runs = runs.join(cuts, "l")
         runs = runs.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
         sides.append(materialize(runs.join(_below(runs, "n"), ["l", "s"]).withColumnRenamed("below", "worse"), "runs"))
     x = base.select("l", "id", F.lit(1.0).alias("x"))
@@ -166,19 +166,19 @@ def walk_ranking(
     )
     types = dict(rows.dtypes)
     schema = f"q {types['q']}, i {types['i']}, weight double"
-    # lists over the bound: fewer than rows / big_list of them
-    huge = [r["l"] for r in rows.groupBy("l").count().filter(F.col("count") > big_list).select("l").collect()]
+    # lists over the bound: fewer than rows / big_list of them; small tables are broadcast by their size
+    huge = materialize(rows.groupBy("l").count().filter(F.col("count") > big_list).select("l"), "huge")
+    several = not huge.isEmpty()
     n_scores = len(scores)
     weights = (
-        rows.filter(~F.col("l").isin(huge))
+        (rows.join(huge, "l", "left_anti") if several else rows)
         .repartition(parallelism(spark), "l")
         .sortWithinPartitions("l")
         .mapInArrow(lambda batches: _walk_batches(batches, n_scores), schema)
     )
-    if huge:
-        weights = weights.unionByName(
-            _walk_big(rows.filter(F.col("l").isin(huge)), n_scores, damping, parallelism(spark))
-        )
+    if several:
+        big = _walk_big(rows.join(huge, "l", "left_semi"), n_scores, damping, parallelism(spark))
+        weights = weights.unionByName(big)
     return weights.select(F.col("q").alias(query), F.col("i").alias(item), F.round("weight", 9).alias("weight"))
 
 

@@ -3,7 +3,8 @@
 Pointer doubling.  Every place where a text may be cut is joined to its farthest legal successor: the last
 place that a piece which starts there (with its overlap) may end.  The cuts of a text are the places reached from its
 start; instead of walking from cut to cut, the table of successors is squared again and again, each time doubling
-the steps that are known, for all places of all texts of a batch at once.  No text is split over tasks, none is shuffled.
+the steps that are known, for all places of several texts at once.  No text is shuffled.  A very long one is looked at
+through windows of bounded size, each beginning at the last cut that the window before could tell for sure.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seekstone.errors import ChunkingError
@@ -23,6 +25,8 @@ PARAGRAPH, LINE, SENTENCE, WORD = 4, 3, 2, 1
 SENTENCE_ENDS = ".!?…"
 WIDE_SENTENCE_ENDS = "。！？．"
 CLOSERS = "\"')]}»”’」』"
+#: Characters that are looked at together, some 40 bytes each; a longer text goes by windows of this size.
+WINDOW = 4_000_000
 _BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
 
 
@@ -85,8 +89,27 @@ def _farthest(places, kinds, starts, begin, size):
     return np.where(out == 0, limit, out)
 
 
-def _cut_many(codes: list[np.ndarray], sizes: np.ndarray, overlaps: np.ndarray):
-    """Pointer doubling over all texts of a batch, laid end to end."""
+def _cut_long(code: np.ndarray, size: int, overlap: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The same by windows: a cut is sure if its piece ends before the window's last run of white space."""
+    n, at = len(code), 0
+    begins, cuts = [], [0]
+    while at < n:
+        low, end = max(0, at - overlap - 1), min(n, at + max(window, 4 * size))
+        while low > 0 and np.isin(code[low - 1], _BLANKS):  # no run is seen in part
+            low -= 1
+        while end < n and np.isin(code[end - 1], _BLANKS):
+            end += 1
+        (begin,), (cut,), _ = _cut_many([code[low:end]], np.array([size]), np.array([overlap]), np.array([at - low]))
+        sure = len(begin) if end == n else int(np.searchsorted(begin + size, end - low - 1))
+        begins += (begin[:sure] + low).tolist()
+        cuts += (cut[1 : sure + 1] + low).tolist()
+        at = cuts[-1]
+    return np.array(begins), np.array(cuts)
+
+
+def _cut_many(codes: list[np.ndarray], sizes: np.ndarray, overlaps: np.ndarray, starts: np.ndarray | None = None):
+    """Pointer doubling over all texts of a batch, laid end to end.  ``starts``: where the first piece of each starts, if not at 0."""
+    starts = np.zeros(len(codes), np.int64) if starts is None else starts
     lengths = np.array([len(c) for c in codes], dtype=np.int64)
     base = np.r_[0, np.cumsum(lengths + 1)]  # one place more than characters: a text's end
     succ = np.arange(base[-1], dtype=np.int64)  # places not looked at lead nowhere
@@ -95,7 +118,7 @@ def _cut_many(codes: list[np.ndarray], sizes: np.ndarray, overlaps: np.ndarray):
         n, size, overlap = int(lengths[k]), int(sizes[k]), int(overlaps[k])
         places, kinds = boundaries(code)
         tidy = places[(places == n) | ~np.isin(code, _BLANKS)[np.minimum(places, n - 1)]]  # no piece begins blank
-        wanted = places[places < n]
+        wanted = np.union1d(places[(places < n) & (places >= starts[k])], starts[k : k + 1])
         seen = np.zeros(n + 1, dtype=bool)
         while len(wanted):  # cuts inside words make new places; rare
             seen[wanted] = True
@@ -108,7 +131,7 @@ def _cut_many(codes: list[np.ndarray], sizes: np.ndarray, overlaps: np.ndarray):
             wanted = fresh[~seen[fresh]]
     # the places reached from the starts: after step j all within 2**j cuts are marked
     reached = np.zeros(base[-1], dtype=bool)
-    reached[base[:-1]] = True
+    reached[base[:-1] + starts] = True
     jump = succ
     while True:
         marked = reached.copy()
@@ -124,12 +147,28 @@ def _cut_many(codes: list[np.ndarray], sizes: np.ndarray, overlaps: np.ndarray):
     return begins, cuts, base
 
 
-def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with about ``WINDOW`` characters in all; a longer text is alone."""
     for batch in batches:
+        sizes = pc.utf8_length(batch.column(batch.schema.get_field_index("text"))).to_numpy(zero_copy_only=False)
+        a = 0
+        while a < len(batch):
+            b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), WINDOW, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _portions(batches):
         cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         texts = cols["text"].to_pylist()
         codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
-        begins, cuts, _ = _cut_many(codes, cols["size"].to_numpy(), cols["overlap"].to_numpy())
+        sizes, overlaps = cols["size"].to_numpy(), cols["overlap"].to_numpy()
+        if len(codes) == 1 and len(codes[0]) > WINDOW:
+            one = _cut_long(codes[0], int(sizes[0]), int(overlaps[0]))
+            begins, cuts = [one[0]], [one[1]]
+        else:
+            begins, cuts, _ = _cut_many(codes, sizes, overlaps)
         row, index, start, end, fresh, piece = [], [], [], [], [], []
         for k, text in enumerate(texts):
             for j, (b, c, e) in enumerate(zip(begins[k].tolist(), cuts[k][:-1].tolist(), cuts[k][1:].tolist(), strict=True)):

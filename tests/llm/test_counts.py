@@ -63,12 +63,23 @@ def test_spilling_in_a_query(df):
     assert got == dict(occurrences)
 
 
-def brute_ppmi(rows, exponent=0.75, least=2):
+def test_shared_folders_by_any_name(tmp_path):
+    from seekstone.llm.frequency import _shared
+
+    for name in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        files, path = _shared(name)
+        assert path == str(tmp_path) and files.get_file_info(path).is_file is False
+
+
+def brute_ppmi(rows, exponent=0.5, least=2):
+    """ln of p(word, record) / (p(record) * smoothed p(word)), all from the one table of counts."""
     cut = {i: collections.Counter(x.casefold() for x in re.findall(r"\w+", t or "")) for i, t in rows}
     records = collections.Counter(w for c in cut.values() for w in c)
-    mass = sum(n**exponent for n in records.values())
+    occurrences = sum(cut.values(), collections.Counter())
+    mass = sum(n**exponent for n in occurrences.values())
+    total = sum(occurrences.values())
     return {
-        (i, w): max(0.0, math.log(tf / sum(c.values()) / (records[w] ** exponent / mass)))
+        (i, w): max(0.0, math.log((tf / total) / (sum(c.values()) / total * occurrences[w] ** exponent / mass)))
         for i, c in cut.items()
         for w, tf in c.items()
         if records[w] >= least

@@ -252,3 +252,20 @@ def test_spellers_are_kept_by_their_words():
 
     one = lookalike._speller(Shared("x", ["été"], {}))
     assert lookalike._speller(Shared("x", ["été"], {})) is one and lookalike._speller(Shared("y", ["жар"], {})) is not one
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_texts_go_by_windows(seed):
+    """Windows of any size give the cuts of the whole."""
+    import numpy as np
+
+    from seekstone.llm.splitting import _cut_long, cut_places
+
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["word", "x", " ", ". ", "\n", "\n\n", "   ", "。", "longwordwithoutanend" * 3]) for _ in range(3000))
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    for size, overlap in ((40, 0), (50, 10), (200, 150)):
+        begin, cut = cut_places(code, size, overlap)
+        for window in (4 * size, 1000, 5000):
+            got = _cut_long(code, size, overlap, window)
+            assert got[0].tolist() == begin.tolist() and got[1].tolist() == cut.tolist()
