@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seekstone.llm import distinctive, frequency, lookalike, neardup, packing, ranking, similar, splitting, tokenizing
+from seekstone.functions.text import strip
 from seekstone.operators.distinct import first_rows
 from seekstone.session import materialize
 from seekstone.sources.tables import table
@@ -75,6 +76,28 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(rows, F.col("record_kind"), "id", "content", F.col("size"), F.col("overlap"))
 
 
+def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each record that is cut: are its pieces, without what repeats, the whole text; do they fit; do they repeat no more than
+    they may?"""
+    sized = _oversized(spark, folder)
+    pieces = p3_pieces(spark, folder)
+    fresh = F.expr("substring(piece, fresh_start - start + 1)")
+    ordered = F.array_sort(F.collect_list(F.struct("piece_index", fresh.alias("t"))))  # the pieces of one record
+    whole = pieces.groupBy("record_kind", F.col("record_id").alias("id")).agg(
+        F.md5(F.array_join(F.transform(ordered, lambda x: x["t"]), "")).alias("digest"),
+        F.max(F.length("piece")).alias("longest"),
+        F.max(F.col("fresh_start") - F.col("start")).alias("repeats"),
+    )
+    both = whole.join(sized, ["record_kind", "id"])
+    return both.select(
+        "record_kind",
+        F.col("id").alias("record_id"),
+        (F.col("digest") == F.md5(strip(F.col("content")))).alias("whole"),
+        (F.col("longest") <= F.col("size")).alias("fits"),
+        (F.col("repeats") <= F.col("overlap")).alias("overlaps"),
+    )
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).filter("piece_index = 0").select("record_kind", "record_id")
 
@@ -136,6 +159,28 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p8_packing(spark, folder))
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each document with tokens: does all of it lie in containers, once, in parts only if it must, and none too full?"""
+    sizes = materialize(tokenizing.token_counts(table(spark, folder, "documents"), "doc_id", "text"), "sizes")
+    placed = materialize(packing.pack(sizes, "doc_id", "n_tokens"), "placed")
+    rooms = placed.groupBy("container").agg((F.sum("length") > 2048).alias("over"))
+    parts = placed.join(rooms, "container").groupBy("doc_id").agg(
+        F.sum("length").alias("placed"), F.count(F.lit(1)).alias("parts"), F.max("over").alias("over")
+    )
+    least = F.ceil(F.col("n_tokens") / 2048)
+    whole = (F.col("placed") == F.col("n_tokens")) & (F.col("parts") == least) & ~F.col("over")
+    return parts.join(sizes, "doc_id").select("doc_id", whole.alias("whole"))
+
+
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each text: is the form of its form the form itself, under the same vocabulary?"""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    words = lookalike.vocabulary(documents, "text")
+    forms = materialize(lookalike.visual_forms(documents, "doc_id", "text", words).filter("form IS NOT NULL"), "forms")
+    again = lookalike.visual_forms(forms, "doc_id", "form", words).withColumnRenamed("form", "again")
+    return forms.join(again, "doc_id").select("doc_id", (F.col("form") == F.col("again")).alias("stable"))
+
+
 def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.visual_forms(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -182,6 +227,16 @@ ORACLE: dict[str, str] = {
             metadata['collection'] AS collection FROM r)
         SELECT record_kind, id AS record_id FROM s LEFT JOIN manifests m ON m.collection = s.collection
         WHERE length(content) > coalesce(m.chunk_size, (SELECT chunk_size FROM manifests WHERE collection = 'default'))""",
+    "p3_checks": f"""WITH {_SIZES},
+        s AS (SELECT record_kind, id, trim(content, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) ||
+            chr(29) || chr(30) || chr(31) || ' ' || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) ||
+            chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) ||
+            chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)) AS content,
+            metadata['collection'] AS collection FROM r)
+        SELECT record_kind, id AS record_id, true AS whole, true AS fits, true AS overlaps FROM s LEFT JOIN manifests m ON m.collection = s.collection
+        WHERE length(content) > coalesce(m.chunk_size, (SELECT chunk_size FROM manifests WHERE collection = 'default'))""",
+    "p8_checks": "SELECT doc_id, true AS whole FROM documents WHERE text <> ''",
+    "p9_checks": "SELECT doc_id, true AS stable FROM documents WHERE text IS NOT NULL",
     "p6_distinctive": f"WITH {_PPMI} SELECT chunk_id, term FROM best",
     "p6_found": f"WITH {_PPMI} SELECT chunk_id, term FROM best WHERE chunk_id IN (SELECT chunk_id FROM term_probes)",
 }
