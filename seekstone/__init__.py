@@ -18,7 +18,7 @@ from seekstone.operators.fusion import fuse, linear, minmax, rrf, zscore
 from seekstone.operators.lexical import bm25, build_index
 from seekstone.schema import DistanceMetric, Document, FusionStrategy, LexicalParams, QueryResult, SearchMode
 from seekstone.sources.files import EmbeddingConfig, IndexStats, LexicalConfig, Manifest, VectorStoreConfig
-from seekstone.stores import ExactVectorStore, LshVectorStore, VectorStoreRegistry
+from seekstone.stores import ExactVectorStore, CellVectorStore, VectorStoreRegistry
 from seekstone.tool import SearchTool
 
 __version__ = "0.1.0"

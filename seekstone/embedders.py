@@ -75,6 +75,12 @@ class _ModelEmbedder:
     """What the model-backed embedders share."""
 
     backend = ""
+    #: What the model expects before a query.
+    query_prefix = ""
+
+    def recipe(self) -> tuple[str, str, dict[str, Any]] | None:
+        """What :class:`EmbedderRegistry` needs to build this embedder again in another process; None if it can't."""
+        return self.backend, self.model_name, self.init_kwargs
 
     def __init__(self, model_name: str, dimension: int, kwargs: dict[str, Any]):
         self.model_name, self.dimension, self._kwargs = model_name, dimension, kwargs
@@ -95,8 +101,12 @@ class _ModelEmbedder:
         except Exception as err:
             raise EmbeddingError(f"{self.backend} failed: {err}") from err
 
+    def embed_queries(self, texts: list[str], batch_size: int = 32) -> np.ndarray:
+        """All queries in one call of the model."""
+        return self.embed_documents([self.query_prefix + t for t in texts], batch_size)
+
     def embed_query(self, text: str) -> np.ndarray:
-        return self.embed_documents([text])[0]
+        return self.embed_queries([text])[0]
 
 
 class OnnxEmbedder(_ModelEmbedder):
@@ -122,8 +132,9 @@ class OnnxEmbedder(_ModelEmbedder):
     def _encode(self, texts: list[str], batch_size: int) -> np.ndarray:
         return normalized(np.stack(list(self._model.embed(texts, batch_size=batch_size))))
 
-    def embed_query(self, text: str) -> np.ndarray:
-        return super().embed_query((BGE_QUERY_PREFIX if "bge" in self.model_name.lower() else "") + text)
+    @property
+    def query_prefix(self) -> str:
+        return BGE_QUERY_PREFIX if "bge" in self.model_name.lower() else ""
 
 
 class SentenceEmbedder(_ModelEmbedder):
@@ -171,6 +182,7 @@ class TorchEmbedder(_ModelEmbedder):
             raise EmbeddingError(f"The projected dimension must be above 0, not {projection_dim!r}.")
         import torch
 
+        self._given = model is not None or tokenizer is not None
         if tokenizer is None and model_name is None:
             raise EmbeddingError("A bare torch module needs a tokenizer.")
         if tokenizer is None or model is None:
@@ -187,6 +199,9 @@ class TorchEmbedder(_ModelEmbedder):
         kwargs = {"pooling": pooling, "normalize": normalize, "device": device, "max_length": max_length, "projection_dim": projection_dim}
         super().__init__(model_name or type(model).__name__, projection_dim or width, kwargs)
 
+    def recipe(self) -> tuple[str, str, dict[str, Any]] | None:
+        return None if self._given or self._projection is not None else super().recipe()
+
     def _encode(self, texts: list[str], batch_size: int) -> np.ndarray:
         parts = []
         with self._torch.no_grad():
@@ -203,16 +218,38 @@ class TorchEmbedder(_ModelEmbedder):
         return normalized(whole) if self._normalize else whole
 
 
-def embed_table(embedder: Any, df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, embedding)`` by any embedder."""
+_BUILT: dict[str, Any] = {}
+
+
+def _in_task(recipe: tuple[str, str, dict[str, Any]]) -> Any:
+    """The embedder of a recipe, built once in each worker: models don't travel."""
+    name = repr(recipe)
+    if name not in _BUILT:
+        backend, model, kwargs = recipe
+        _BUILT[name] = EmbedderRegistry.create(backend, model_name=model, **kwargs)
+    return _BUILT[name]
+
+
+def embed_table(embedder: Any, df: DataFrame, key: str, text: str, queries: bool = False) -> DataFrame:
+    """``(key, embedding)`` by any embedder; ``queries``: the texts are queries, not passages.  Null texts count as empty."""
     if hasattr(embedder, "embed_table"):
         return embedder.embed_table(df, key, text)
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    recipe = embedder.recipe() if hasattr(embedder, "recipe") else None
+    given = None if recipe else embedder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _in_task(recipe) if recipe else given
         for b in batches:
-            matrix = np.asarray(embedder.embed_documents(b.column(1).to_pylist()), np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(matrix), pa.list_(pa.float32()))], ["key", "embedding"])
+            texts = b.column(1).to_pylist()
+            if not queries:
+                matrix = model.embed_documents(texts)
+            elif hasattr(model, "embed_queries"):
+                matrix = model.embed_queries(texts)
+            else:
+                matrix = [model.embed_query(t) for t in texts]
+            vectors = pa.array([v for v in np.asarray(matrix, np.float32)], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), vectors], ["key", "embedding"])
 
     kind = dict(rows.dtypes)["key"]
     return rows.mapInArrow(run, f"key {kind}, embedding array<float>").withColumnRenamed("key", key)

@@ -1,12 +1,12 @@
 """The engine: five tables behind a small facade.
 
-Every change writes the new tables to the shared folder, so plans stay short and an index survives the loss of executors.
+A change writes what is new, and which old chunks are gone, to the shared folder; the tables are what was there, without those, and
+the new.  After some changes they are written whole, so plans stay short and an index survives the loss of executors.
 Everything that can fail is done before the tables are replaced.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from typing import Any
 
@@ -17,8 +17,8 @@ from seekstone.embedders import EmbedderRegistry, embed_table
 from seekstone.errors import IncompatibleBackendError, SeekstoneError, SerializationError
 from seekstone.functions.text import is_blank
 from seekstone.operators.chunking import RecursiveCharacterChunker, chunk_documents
-from seekstone.operators.lexical import build_index, remove
-from seekstone.operators.search import IndexTables, search_rankings, with_content
+from seekstone.operators.lexical import build_index, corpus_stats, in_order
+from seekstone.operators.search import IndexTables, search_rankings, search_requests, with_content
 from seekstone.schema import (
     CHUNKS,
     DOCUMENTS,
@@ -33,7 +33,7 @@ from seekstone.schema import (
     SearchMode,
     coerce,
 )
-from seekstone.session import materialize, ship, spread
+from seekstone.session import discard, materialize, ship, spread
 from seekstone.sources import files
 from seekstone.stores import VectorStoreRegistry
 from seekstone.tool import SearchTool
@@ -45,6 +45,12 @@ _HINTS = {
 }
 
 
+#: Chunks that a change replaces up to which their ids are broadcast.
+BROADCAST_GONE = 200_000
+#: Changes after which the tables are written whole.
+COMPACT_AFTER = 8
+
+
 class Engine:
     """Retrieval over chunks: BM25, vectors, or both."""
 
@@ -83,10 +89,20 @@ class Engine:
         self.documents, self.chunks = make([], DOCUMENTS), make([], CHUNKS)
         self.postings, self.lengths = make([], POSTINGS), make([], LENGTHS)
         self.store.vectors = make([], VECTORS)
+        self._changes, self._stored, self._counted = 0, [], None
 
     @property
     def tables(self) -> IndexTables:
-        return IndexTables(self.documents, self.chunks, self.store.vectors, self.postings, self.lengths)
+        """The index; what its scores need of the whole collection is counted at the first search after a change."""
+        if self._counted is None:
+            counted = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            counted = materialize(counted.repartitionByRange("term").sortWithinPartitions("term"), "terms")
+            n, mean = corpus_stats(self.lengths).first()
+            self._stored.append(counted)
+            self._counted = counted, (n, mean or 0.0)
+        return IndexTables(
+            self.documents, self.chunks, self.store.vectors, self.postings, self.lengths, *self._counted, self.store.search_batch
+        )
 
     # ingestion
 
@@ -129,24 +145,41 @@ class Engine:
         vectors = materialize(vectors.select("chunk_id", "embedding", "seq"), "vectors")
         postings, lengths = build_index(cut, self.params)
         kept = documents.join(ids, "doc_id", "left_semi").select("doc_id", "content", "metadata", "seq")
+        postings = materialize(in_order(postings), "postings")
+        lengths, kept = materialize(lengths, "lengths"), materialize(kept, "documents")
         gone = self.chunks.join(ids, self.chunks["document_id"] == ids["doc_id"], "left_semi").select("chunk_id")
         gone = materialize(gone, "gone")
-        shift = self._next_document()
+        shift, replaces = self._next_document(), not gone.isEmpty()
+
+        def grown(old: DataFrame, new: DataFrame, without: DataFrame, column: str = "chunk_id") -> DataFrame:
+            if replaces:
+                few = without.count() <= BROADCAST_GONE
+                old = old.join(F.broadcast(without) if few else without, column, "left_anti").select(*new.columns)
+            return old.unionByName(new)
+
+        written = [cut, vectors, postings, lengths, kept, gone, ids]
         new = IndexTables(
-            documents=materialize(
-                remove(self.documents, ids, "doc_id").unionByName(kept.withColumn("seq", F.col("seq") + shift)), "documents"
-            ),
-            chunks=materialize(remove(self.chunks, gone).unionByName(cut), "chunks"),
-            vectors=materialize(remove(self.store.vectors, gone).unionByName(vectors), "vectors"),
-            postings=materialize(remove(self.postings, gone).unionByName(postings), "postings"),
-            lengths=materialize(remove(self.lengths, gone).unionByName(lengths), "lengths"),
+            documents=grown(self.documents, kept.withColumn("seq", F.col("seq") + shift), ids, "doc_id"),
+            chunks=grown(self.chunks, cut, gone),
+            vectors=grown(self.store.vectors, vectors, gone),
+            postings=grown(self.postings, postings, gone),
+            lengths=grown(self.lengths, lengths, gone),
         )
-        self._set(new)
+        changes = self._changes + 1
+        if changes >= COMPACT_AFTER:
+            new = IndexTables(*(materialize(t, "whole") for t in (new.documents, new.chunks, new.vectors)), materialize(in_order(new.postings), "whole"), materialize(new.lengths, "whole"))
+            old, written = self._stored + written[:-1], [new.documents, new.chunks, new.vectors, new.postings, new.lengths]
+            self._set(new, written)
+            discard(old)  # nothing reads them any more
+        else:
+            self._set(new, self._stored + written)
+            self._changes = changes
         return ids
 
-    def _set(self, new: IndexTables) -> None:
+    def _set(self, new: IndexTables, stored: list[DataFrame]) -> None:
         self.documents, self.chunks, self.postings, self.lengths = new.documents, new.chunks, new.postings, new.lengths
         self.store.vectors = new.vectors
+        self._changes, self._stored, self._counted = 0, stored, None
 
     def _next_document(self) -> int:
         return self.documents.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).head()["n"]
@@ -207,12 +240,7 @@ class Engine:
     ) -> DataFrame:
         """A batch: ``(query_id, query)`` to result rows."""
         if coerce(SearchMode, mode) is not SearchMode.BM25:
-            usable = queries.filter(~is_blank(F.col("query")))
-            if hasattr(self.embedder, "embed_table"):
-                vectors = embed_table(self.embedder, usable, "query_id", "query")
-            else:
-                vectors = embed_table(_AsQueries(self.embedder), usable, "query_id", "query")
-            queries = usable.join(vectors.withColumnRenamed("embedding", "qvec"), "query_id")
+            queries = self._embedded(queries)
         rankings = search_rankings(
             self.tables,
             queries,
@@ -227,20 +255,34 @@ class Engine:
         )
         return with_content(rankings, self.chunks)
 
+    def search_requests(self, requests: DataFrame) -> DataFrame:
+        """Many searches, each in its own way, to result rows: ``(query_id, query, search_mode, top_k, fusion, alpha,
+        metadata_filter)`` as in :func:`seekstone.operators.search.search_requests`; values of filters are canonical texts."""
+        rankings = search_requests(self.tables, self._embedded(requests), self.params, self.metric)
+        return with_content(rankings, self.chunks)
+
+    def _embedded(self, queries: DataFrame) -> DataFrame:
+        """With the vectors of those that aren't blank, which alone are kept."""
+        usable = queries.filter(~is_blank(F.col("query")))
+        vectors = embed_table(self.embedder, usable, "query_id", "query", queries=True)
+        return usable.join(vectors.withColumnRenamed("embedding", "qvec"), "query_id")
+
     # persistence
 
     def save(self, path: str) -> None:
         """Write the tables to a new folder below ``path``, then the manifest, which alone makes them valid."""
-        data = f"data-{uuid.uuid4().hex[:12]}"
+        path, data = path.rstrip("/"), f"data-{uuid.uuid4().hex[:12]}"
+        tables = self.tables
         for name, table in (
             ("documents", self.documents),
             ("chunks", self.chunks),
             ("vectors", self.store.vectors),
             ("postings", self.postings),
             ("lengths", self.lengths),
+            ("terms", tables.frequencies),
         ):
-            ordered = table.sortWithinPartitions("term") if name == "postings" else table
-            ordered.write.parquet(f"{path}/{data}/{name}")
+            (in_order(table) if name == "postings" else table).write.parquet(f"{path}/{data}/{name}")
+        self.store.save_model(f"{path}/{data}")
         manifest = files.Manifest(
             created_at_utc=files.utc_now(),
             embedding_config=files.EmbeddingConfig(
@@ -260,8 +302,10 @@ class Engine:
     @classmethod
     def load(cls, path: str, override_embedder: Any = None, spark: SparkSession | None = None) -> Engine:
         """Read an index back, checking version, embedder, and counts."""
-        file = os.path.join(path, "manifest.json")
-        if not os.path.exists(file):
+        ship(spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
+        path = path.rstrip("/")
+        file = f"{path}/manifest.json"
+        if not files.exists(file):
             raise FileNotFoundError(f"There is no manifest.json in {path!r}.")
         raw = files.read_json(file)
         files.check_version(raw.get("schema_version", ""))
@@ -300,8 +344,12 @@ class Engine:
         engine._set(
             IndexTables(
                 read("documents", DOCUMENTS), read("chunks", CHUNKS), read("vectors", VECTORS), read("postings", POSTINGS), read("lengths", LENGTHS)
-            )
+            ),
+            [],
         )
+        engine.store.load_model(f"{path}/{manifest.data}")
+        n, mean = corpus_stats(engine.lengths).first()
+        engine._counted = read("terms", "term string, df bigint"), (n, mean or 0.0)
         chunks = len(engine)
         for what, count in (
             ("The manifest", manifest.stats.total_chunks),
@@ -310,6 +358,14 @@ class Engine:
         ):
             if count != chunks:
                 raise SerializationError(f"{what} tells of {count} chunks, but there are {chunks} chunks.")
+        # a lexical index whose parts don't belong together gives wrong scores silently
+        words = engine.postings.agg(
+            F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("tf") > 0) & (F.col("dl") >= F.col("tf")), 1)).alias("good")
+        ).first()
+        if words["n"] != words["good"] or (words["tf"] or 0) != (engine.lengths.agg(F.sum("dl")).first()[0] or 0):
+            raise SerializationError("The postings don't fit the lengths of the chunks.")
+        if (engine._counted[0].agg(F.sum("df")).first()[0] or 0) != words["n"]:
+            raise SerializationError("The frequencies of the terms don't fit the postings.")
         return engine
 
     # the rest
@@ -324,13 +380,3 @@ class Engine:
 
     def __len__(self) -> int:
         return self.chunks.count()
-
-
-class _AsQueries:
-    """An embedder's query side, for tables of queries."""
-
-    def __init__(self, embedder: Any):
-        self.embedder = embedder
-
-    def embed_documents(self, texts: list[str], batch_size: int = 32) -> list:
-        return [self.embedder.embed_query(t) for t in texts]

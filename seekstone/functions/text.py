@@ -6,8 +6,11 @@ full case folding (``ß`` folds to ``ss``), words as maximal runs of letters, di
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 #: Letters, digits, underscores.  Java's own ``\\w`` differs from Python's.
@@ -123,6 +126,28 @@ def words(text: Column, lowercase: bool = True, stopwords: list[str] | None = No
 
 
 def word_counts(df, key: list[str], text: str, lowercase: bool = True, stopwords: list[str] | None = None):
-    """``(*key, term, tf)``: how often every word occurs in every row; ``key`` must name rows uniquely."""
-    each = df.select(*key, F.explode(words(F.col(text), lowercase, stopwords)).alias("term"))
-    return each.groupBy(*key, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    """``(*key, length, term, tf)``: how often every word occurs in every row, and how many words the row has.
+
+    Rows without a word give none.  All words of a row are in one row, so they are counted there, batch by batch: nothing is
+    shuffled, and the rows of a key stay together."""
+    rows = df.select(*key, words(F.col(text), lowercase, stopwords).alias("_words")).filter(F.size("_words") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(key))
+            flat = pa.table({"row": pc.list_parent_indices(lists), "term": lists.flatten()})
+            counted = flat.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            for part in counted.to_batches(max_chunksize=100_000):
+                row = part.column("row")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(k).take(row) for k in range(len(key))],
+                        pc.list_value_length(lists).take(row).cast(pa.int32()),
+                        part.column("term"),
+                        part.column("count_all").cast(pa.int32()),
+                    ],
+                    [*key, "length", "term", "tf"],
+                )
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", length int, term string, tf int")

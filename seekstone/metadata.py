@@ -36,3 +36,14 @@ def matches(wanted: dict[str, str], own: Column, inherited: Column) -> Column:
         found = F.when(has, F.element_at(own, F.lit(key))).otherwise(F.element_at(inherited, F.lit(key)))
         result = result & F.coalesce(found == F.lit(value), F.lit(False))
     return result
+
+
+def matches_each(wanted: Column, own: Column, inherited: Column) -> Column:
+    """The same where every row has its own ``wanted``, a map; a null value of it matches nothing."""
+
+    def holds(entry: Column) -> Column:
+        has = F.coalesce(F.map_contains_key(own, entry["key"]), F.lit(False))
+        found = F.when(has, F.element_at(own, entry["key"])).otherwise(F.element_at(inherited, entry["key"]))
+        return F.coalesce(found == entry["value"], F.lit(False))
+
+    return F.forall(F.map_entries(wanted), holds)

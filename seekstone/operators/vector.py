@@ -7,7 +7,8 @@ these are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _block(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, metric: str, k: int) -> DataFrame:
+    """Of each query of the block the k best, by every task for its vectors."""
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +98,13 @@ def _kept(tables: list[pa.Table], k: int) -> pa.Table:
     return t.take(pa.array(order[rank < k])).combine_chunks()
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str, k: int) -> DataFrame:
-    """``(query_id, chunk_id, score, seq, rank)``: the k best vectors of each query (``query_id``, ``qvec``), exactly.
+def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str, k: int | str) -> DataFrame:
+    """``(query_id, chunk_id, score, seq, rank)``: the k best vectors of each query (``query_id``, ``qvec``), exactly.  ``k``: a
+    number, or a column of ``queries``.
 
-    Vectors without the queries' number of numbers, or null, take no part.  k of 0 or less gives no row."""
+    Vectors without the query's number of numbers, or null, take no part.  k of 0 or less gives no row."""
+    if isinstance(k, str):
+        return limited(lambda q, n: knn_batch(vectors, q, metric, n), queries, k)
     if k <= 0:
         kind = dict(vectors.dtypes)["chunk_id"]
         return vectors.sparkSession.createDataFrame(
@@ -115,9 +120,10 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str, k: int) -> Da
             out = part if out is None else out.unionByName(part)
             ids, held = [], []
 
-    for row in queries.select("query_id", "qvec").toLocalIterator():  # a block of queries at a time, never all
-        if row["qvec"] is None:
-            continue
+    # a block of queries at a time, never all; those of another length go into another block
+    for row in queries.select("query_id", "qvec").filter("qvec IS NOT NULL").sort(F.size("qvec")).toLocalIterator():
+        if len(row["qvec"]) != dim:
+            flush()
         dim = len(row["qvec"])
         ids.append(row["query_id"])
         held.append(row["qvec"])
@@ -129,23 +135,130 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str, k: int) -> Da
     return top(out, [F.round("score", 9).desc(), F.col("seq")], k)
 
 
-def lsh_model(vectors: DataFrame, bucket: float = 0.5, tables: int = 8, seed: int = 7):
-    """Locality-sensitive hashing of unit vectors, for :func:`approximate_knn`."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def limited(search: Callable[[DataFrame, int], DataFrame], queries: DataFrame, k: str) -> DataFrame:
+    """A search for as many as any query wants, cut to the column ``k`` of each."""
+    deepest = queries.agg(F.coalesce(F.max(k), F.lit(0))).first()[0]
+    limits = queries.select("query_id", F.col(k).alias("_k")).dropDuplicates(["query_id"])
+    return search(queries, deepest).join(limits, "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
+
+
+@dataclass
+class CellModel:
+    """Centres of cells, fitted on a bounded sample, and in how many of them a query is looked for."""
+
+    centres: np.ndarray
+    probes: int
+
+    def route(self, x: np.ndarray, most: int) -> np.ndarray:
+        """The nearest cells of each row, the nearest first."""
+        distance = (self.centres * self.centres).sum(1)[None, :] - 2.0 * (x @ self.centres.T)
+        return np.argsort(distance, axis=1, kind="stable")[:, :most]
+
+
+def _ready(metric: str, x: np.ndarray) -> np.ndarray:
+    """What cells are made of: for cosine, unit vectors."""
+    if metric != "cosine":
+        return x
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > EPS, norm, 1.0)
+
+
+def fit_cells(vectors: DataFrame, metric: str, sample: int = 20_000, cover: float = 0.995, rounds: int = 8, seed: int = 7) -> CellModel:
+    """About sqrt(n) cells; one for a few thousand vectors, which are searched exactly then.
+
+    ``sample``: the most vectors that are looked at on the driver; ``cover``: the share of the sample's own ten nearest that
+    the cells looked into hold."""
+    n = vectors.count()
+    cells = int(min(n**0.5, sample / 16)) if n >= 4_000 else 1
+    if cells < 2:
+        return CellModel(np.zeros((1, 1)), 1)
+    lot = F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))
+    rows = vectors.filter(lot).select("chunk_id", "embedding").toPandas().sort_values("chunk_id")  # about ``sample``
+    x = _ready(metric, np.stack(rows["embedding"]).astype(np.float64))
+    centres = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        nearest = CellModel(centres, 1).route(x, 1)[:, 0]
+        size = np.bincount(nearest, minlength=len(centres))
+        sums = np.stack([np.bincount(nearest, column, minlength=len(centres)) for column in x.T], axis=1)
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+    model = CellModel(centres, 1)
+    nearest, asked = model.route(x, 1)[:, 0], x[:: max(1, len(x) // 256)]
+    true = np.argsort(-_scores(metric, asked, x), axis=1)[:, :10]
+    rank = (model.route(asked, len(centres))[:, None, :] == nearest[true][:, :, None]).argmax(axis=2)
+    reached = np.cumsum(np.bincount(rank.ravel(), minlength=len(centres))) >= cover * rank.size
+    model.probes = int(np.argmax(reached)) + 1
+    return model
+
+
+def in_cells(vectors: DataFrame, model: CellModel, metric: str) -> DataFrame:
+    """``(chunk_id, embedding, seq, cell)``, in order of cells, so that a few cells prune the scan."""
+    kind = dict(vectors.dtypes)["chunk_id"]
 
-    from seekstone.functions.vectors import l2_normalize
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
+                cell = model.route(_ready(metric, x), 1)[:, 0] if len(model.centres) > 1 else np.zeros(len(b), np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], ["chunk_id", "embedding", "seq", "cell"])
 
-    unit = vectors.select("chunk_id", "seq", array_to_vector(l2_normalize(F.col("embedding")).cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=seed)
-    return lsh.fit(unit), unit
+    placed = vectors.select("chunk_id", "embedding", "seq").mapInArrow(
+        place, f"chunk_id {kind}, embedding array<float>, seq bigint, cell int"
+    )
+    return placed.repartitionByRange("cell", "seq").sortWithinPartitions("cell", "seq")
 
 
-def approximate_knn(model, unit: DataFrame, query: list[float], k: int) -> DataFrame:
-    """``(chunk_id, score)``: about the k best by cosine; on unit vectors the Euclidean order is the cosine order."""
-    from pyspark.ml.linalg import Vectors
+def approximate_batch(placed: DataFrame, model: CellModel, queries: DataFrame, metric: str, k: int) -> DataFrame:
+    """``(query_id, chunk_id, score, seq, rank)``: about the k best of each query, from the cells it is looked for in.  Scores are
+    exact.  With one cell it is :func:`knn_batch`."""
+    vectors = placed.select("chunk_id", "embedding", "seq", "cell")
+    if len(model.centres) < 2 or k <= 0:
+        return knn_batch(vectors, queries, metric, k)
+    kind, dim = dict(placed.dtypes)["chunk_id"], model.centres.shape[1]
+    out, ids, held = None, [], []
 
-    q = np.asarray(query, dtype=float)
-    q = q / (np.linalg.norm(q) or 1.0)
-    near = model.approxNearestNeighbors(unit, Vectors.dense(q), k, distCol="d")
-    return near.select("chunk_id", (1.0 - F.col("d") * F.col("d") / 2.0).alias("score"))
+    def flush() -> None:
+        nonlocal out, ids, held
+        if not held:
+            return
+        q, names = np.array(held, np.float64), np.array(ids, np.int64)
+        routes = model.route(_ready(metric, q), model.probes)
+        shared = placed.sparkSession.sparkContext.broadcast((names, q, routes))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q, routes = shared.value
+            best: list[pa.Table] = []
+            for batch in batches:
+                cell = batch.column(3).to_numpy()
+                for one in np.unique(cell):
+                    asks = np.flatnonzero((routes == one).any(axis=1))
+                    if not len(asks):
+                        continue
+                    at = np.flatnonzero(cell == one)
+                    some = batch.take(pa.array(at))
+                    x = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+                    s = _scores(metric, q[asks], x)
+                    least = np.partition(s, len(at) - k, axis=1)[:, len(at) - k] - 1e-9 if len(at) > k else np.full(len(asks), -np.inf)
+                    row, col = np.nonzero(s >= least[:, None])
+                    best.append(
+                        pa.table({"query_id": names[asks[row]], "chunk_id": some.column(0).take(pa.array(col)), "score": s[row, col], "seq": some.column(2).take(pa.array(col))})
+                    )
+                    if sum(map(len, best)) > 20 * k * len(names) + 100_000:
+                        best[:] = [_kept(best, k)]
+            if best:
+                yield from _kept(best, k).to_batches(max_chunksize=50_000)
+
+        wanted = np.unique(routes)
+        rows = vectors.filter(F.col("cell").isin(wanted.tolist())) if len(wanted) < len(model.centres) // 2 else vectors
+        part = rows.mapInArrow(run, f"query_id bigint, chunk_id {kind}, score double, seq bigint")
+        out = part if out is None else out.unionByName(part)
+        ids, held = [], []
+
+    for row in queries.select("query_id", "qvec").filter(F.size("qvec") == dim).toLocalIterator():  # a block at a time
+        ids.append(row["query_id"])
+        held.append(row["qvec"])
+        if len(held) * dim >= BLOCK_NUMBERS:
+            flush()
+    flush()
+    if out is None:
+        return knn_batch(vectors, queries, metric, 0)
+    return top(out, [F.round("score", 9).desc(), F.col("seq")], k)

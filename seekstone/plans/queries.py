@@ -18,7 +18,7 @@ from seekstone.operators import fusion
 from seekstone.operators.chunking import recursive_chunks, simple_chunks
 from seekstone.operators.lexical import bm25, build_index, corpus_stats, document_frequencies, remove
 from seekstone.operators.search import IndexTables, context_text, search_rankings, with_content
-from seekstone.operators.vector import approximate_knn, knn, knn_batch, lsh_model
+from seekstone.operators.vector import approximate_batch, fit_cells, in_cells, knn, knn_batch
 from seekstone.schema import LexicalParams
 from seekstone.session import materialize, new_path, spread
 from seekstone.sources.tables import table
@@ -88,6 +88,19 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "queries").select("query_id", "query", "top_k").dropDuplicates(["query_id"])
 
 
+def _usable(vector: Column) -> Column:
+    """64 finite numbers, not all zero."""
+    norm = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return (F.size(vector) == 64) & (norm > 0) & (norm < float("inf")) & ~F.isnan(norm)
+
+
+def _chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The usable embeddings of the table chunks, each id once: chunk_id, embedding, seq."""
+    rows = table(spark, folder, "chunks").select("id", "embedding", "seq").filter(_usable(F.col("embedding")))
+    first = rows.groupBy(F.col("id").alias("chunk_id")).agg(F.min_by("embedding", "seq").alias("embedding"), F.min("seq").alias("seq"))
+    return first
+
+
 def _hundredth(spark: SparkSession, folder: str) -> DataFrame:
     """Every vector whose id is divisible by 100, as a query."""
     rows = table(spark, folder, "embeddings").filter("vec_id % 100 = 0")
@@ -456,17 +469,23 @@ def vector_size(spark, folder):
 
 @query()
 def ann_recall(spark, folder):
-    """How many of the 10 nearest by hashing are among the 10 nearest, over every hundredth vector as a query."""
-    vectors, asked = _vectors(spark, folder), _hundredth(spark, folder)
-    model, unit = lsh_model(vectors, bucket=1.0, tables=8)
-    hashed = materialize(model.transform(unit), "hashed")
-    found = []
-    for row in asked.toLocalIterator():
-        near = approximate_knn(model, hashed, row["qvec"], 10).select("chunk_id").collect()  # 10 ids a query
-        found += [(row["query_id"], r["chunk_id"]) for r in near]
-    near = spark.createDataFrame(found, "query_id bigint, chunk_id bigint").withColumn("hit", F.lit(1))
-    exact = knn_batch(vectors, asked, "cosine", 10).select("query_id", "chunk_id")
-    return exact.join(near, ["query_id", "chunk_id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    """How many of the 10 nearest by cells are among the 10 nearest, over every hundredth chunk with a usable embedding as a
+    query, for each metric; and how many of these chunks find themselves first."""
+    vectors = materialize(_chunk_vectors(spark, folder), "usable")
+    asked = vectors.filter("seq % 100 = 0").select(F.col("seq").alias("query_id"), F.col("embedding").alias("qvec"))
+    out = None
+    for metric in ("cosine", "inner_product", "l2"):
+        model = fit_cells(vectors, metric)
+        placed = materialize(in_cells(vectors, model, metric), "cells")
+        near = approximate_batch(placed, model, asked, metric, 10).withColumn("hit", F.lit(1))
+        near = near.withColumnRenamed("score", "found")
+        exact = knn_batch(vectors, asked, metric, 10)
+        both = exact.join(near.select("query_id", "chunk_id", "found", "hit"), ["query_id", "chunk_id"], "left")
+        first = F.when(F.col("rank") == 1, F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0))
+        recall = both.agg((F.count("hit") / F.count(F.lit(1))).alias("recall"), F.avg(first).alias("first"), F.count_distinct("query_id").alias("queries"))
+        recall = recall.select(F.lit(metric).alias("metric"), "queries", "recall", "first")
+        out = recall if out is None else out.unionByName(recall)
+    return out
 
 
 @query(

@@ -23,6 +23,9 @@ RESULTS = (
 )
 
 
+# The names of modes, metrics and strategies.
+
+
 class SearchMode(str, Enum):
     VECTOR = "vector"
     BM25 = "bm25"

@@ -1,8 +1,8 @@
 """What an operator needs from the session: the shared folder, and tables written to cut lineage.
 
 Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``: all executors
-share it, so the loss of an executor loses nothing.  Only where that is unset (tests, a laptop) a folder of
-this process is set.  Nothing is kept on the local disk of one executor.
+share it, so the loss of an executor loses nothing.  Only where that is unset and the session is local (tests, a laptop) a
+folder of this process is set; on a cluster that is an error.  Nothing is kept on the local disk of one executor.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seekstone.errors import SeekstoneError
+
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -26,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise SeekstoneError(
+                f"On {master} the executors share no folder of one machine: set spark.checkpoint.dir to one that all of them see."
+            )
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="seekstone-")
@@ -66,6 +73,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(tables: list[DataFrame]) -> None:
+    """Delete stored tables that nothing reads any more, now instead of at exit; others are left alone."""
+    for df in tables:
+        for file in df.inputFiles():
+            folder = file.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/")
+            for entry in [e for e in _WRITTEN if e[1].split(":", 1)[-1].lstrip("/") == folder]:
+                _delete(*entry)
+                _WRITTEN.remove(entry)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seekstone.errors import VectorStoreError
@@ -13,7 +13,7 @@ from seekstone.operators import vector as V
 from seekstone.operators.lexical import remove
 from seekstone.schema import VECTORS, DistanceMetric, coerce
 from seekstone.session import materialize
-from seekstone.sources.files import read_json, write_json
+from seekstone.sources.files import exists, read_json, write_json
 
 
 class ExactVectorStore:
@@ -73,6 +73,16 @@ class ExactVectorStore:
         query = V.as_matrix(query_vector, self.dimension)[0]
         return [(r["chunk_id"], r["score"]) for r in self._search(held, query, top_k).collect()]
 
+    def search_batch(self, queries: DataFrame, top_k: int | str) -> DataFrame:
+        """``(query_id, chunk_id, score, seq, rank)`` for ``(query_id, qvec)``; ``top_k``: a number or a column."""
+        return V.knn_batch(self._ready(), queries, self.metric.value, top_k)
+
+    def save_model(self, directory: str) -> None:
+        """What a search needs beside the vectors: nothing here."""
+
+    def load_model(self, directory: str) -> None:
+        pass
+
     def _search(self, held: DataFrame, query: Any, top_k: int) -> DataFrame:
         return V.knn(held, query.tolist(), self.metric.value, top_k)
 
@@ -85,7 +95,7 @@ class ExactVectorStore:
 
     def load(self, directory: str, spark: SparkSession | None = None) -> None:
         path = f"{directory}/store_config.json"
-        if not os.path.exists(path):
+        if not exists(path):
             raise FileNotFoundError(f"There is no store_config.json in {directory!r}.")
         config = read_json(path)
         try:
@@ -98,25 +108,59 @@ class ExactVectorStore:
             raise VectorStoreError(f"{directory!r} holds {len(self)} vectors, but its configuration says {count}.")
 
 
-class LshVectorStore(ExactVectorStore):
-    """Approximate, by locality-sensitive hashing; for cosine.  Other metrics are searched exactly."""
+class CellVectorStore(ExactVectorStore):
+    """Approximate: vectors lie in cells, and a query is looked for in the nearest of them.
+
+    The cells are fitted once, at the first search after a change, and stored with the vectors.  A few thousand vectors are one
+    cell, so they are searched exactly."""
 
-    backend = "lsh"
+    backend = "cells"
 
-    def __init__(self, bucket: float = 1.0, tables: int = 8) -> None:
+    def __init__(self, sample: int = 20_000, cover: float = 0.995) -> None:
         super().__init__()
-        self.bucket, self.tables = bucket, tables
+        self.sample, self.cover = sample, cover
+        self._fitted: tuple[DataFrame, V.CellModel, DataFrame] | None = None
+
+    def fitted(self) -> tuple[V.CellModel, DataFrame]:
+        held = self._ready()
+        if self._fitted is None or self._fitted[0] is not held:
+            model = V.fit_cells(held, self.metric.value, self.sample, self.cover)
+            self._fitted = (held, model, materialize(V.in_cells(held, model, self.metric.value), "cells"))
+        return self._fitted[1:]
+
+    def search_batch(self, queries: DataFrame, top_k: int | str) -> DataFrame:
+        model, placed = self.fitted()
+        if isinstance(top_k, str):
+            return V.limited(lambda q, k: V.approximate_batch(placed, model, q, self.metric.value, k), queries, top_k)
+        return V.approximate_batch(placed, model, queries, self.metric.value, top_k)
 
     def _search(self, held: DataFrame, query: Any, top_k: int) -> DataFrame:
-        if self.metric is not DistanceMetric.COSINE:
-            return super()._search(held, query, top_k)
-        model, unit = V.lsh_model(held, self.bucket, self.tables)
-        near = V.approximate_knn(model, unit, query.tolist(), top_k)
-        return near.orderBy(F.col("score").desc(), "chunk_id")
+        one = self.spark.createDataFrame([(0, query.tolist())], "query_id bigint, qvec array<float>")
+        return self.search_batch(one, top_k).orderBy("rank").select("chunk_id", "score")
+
+    def save(self, directory: str) -> None:
+        super().save(directory)
+        self.save_model(directory)
+
+    def save_model(self, directory: str) -> None:
+        model, _ = self.fitted()
+        write_json(f"{directory}/cells.json", {"centres": model.centres.tolist(), "probes": model.probes})
+
+    def load(self, directory: str, spark: SparkSession | None = None) -> None:
+        super().load(directory, spark)
+        self.load_model(directory)
+
+    def load_model(self, directory: str) -> None:
+        """The stored cells; where there are none they are fitted anew."""
+        if exists(f"{directory}/cells.json"):
+            raw = read_json(f"{directory}/cells.json")
+            model = V.CellModel(np.array(raw["centres"], float), int(raw["probes"]))
+            placed = materialize(V.in_cells(self.vectors, model, self.metric.value), "cells")
+            self._fitted = (self.vectors, model, placed)
 
 
-#: Names under which indexes were saved elsewhere lead to the store that gives the same results.
-ALIASES = {"exact": "exact", "numpy": "exact", "np": "exact", "usearch": "exact", "chroma": "exact", "chromadb": "exact", "lsh": "lsh"}
+#: Names under which indexes were saved elsewhere lead to the store that does the same: exact, or by an index.
+ALIASES = {"exact": "exact", "numpy": "exact", "np": "exact", "chroma": "exact", "chromadb": "exact", "usearch": "cells", "cells": "cells", "lsh": "cells"}
 METRICS = {m: SCORES[m.value] for m in DistanceMetric}
 
 
@@ -126,6 +170,6 @@ class VectorStoreRegistry:
         name = ALIASES.get(backend.strip().lower())
         if name is None:
             raise ValueError(f"Unknown vector store {backend!r}; known: {sorted(ALIASES)}")
-        store = LshVectorStore(**kwargs) if name == "lsh" else ExactVectorStore(**kwargs)
+        store = CellVectorStore(**kwargs) if name == "cells" else ExactVectorStore(**kwargs)
         store.initialize(dimension, metric, spark)
         return store

@@ -6,6 +6,7 @@ from typing import Any
 
 from seekstone.schema import SearchMode
 
+#: What callers of the tool rely on.
 NOTHING_FOUND = "No relevant context found in knowledge base."
 DESCRIPTION = (
     "Looks up passages of the knowledge base that answer a question. Takes a query in natural language and returns the "
