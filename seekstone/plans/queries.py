@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from seekstone.engine import Engine
 from seekstone.functions.hashing import hash_embed
 from seekstone.functions.text import STOPWORDS, is_blank, strip, words
 from seekstone.functions.vectors import l2_normalize
@@ -17,7 +18,7 @@ from seekstone.metadata import canonical, matches
 from seekstone.operators import fusion
 from seekstone.operators.chunking import recursive_chunks, simple_chunks
 from seekstone.operators.lexical import bm25, build_index, corpus_stats, document_frequencies, remove
-from seekstone.operators.search import IndexTables, context_text, search_rankings, with_content
+from seekstone.operators.search import IndexTables, context_text, search_rankings, search_requests, with_content
 from seekstone.operators.vector import approximate_batch, fit_cells, in_cells, knn, knn_batch
 from seekstone.schema import LexicalParams
 from seekstone.session import materialize, new_path, spread
@@ -47,14 +48,8 @@ WS = (
 FOLD = "replace(replace(replace(replace(lower({0}),'ß','ss'),'ﬁ','fi'),'ﬀ','ff'),'ﬂ','fl')"
 TOKENS = "regexp_extract_all(" + FOLD.format("coalesce({0},'')") + ", '[\\p{{L}}\\p{{N}}_]+')"
 STOP = "[" + ",".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS) + "]"
-#: Queries of the batches: id, text, and the vector (by its id) that stands for the text.
-BATCH = [
-    (1, "the large archive and the query", 3),
-    (2, "Wenn die große Karte speichert", 7),
-    (3, "index index document unknownword", 11),
-    (4, "une page de la rivière", 19),
-]
-TEXT = BATCH[0][1]
+#: The single searches: id, text, and the vector (by its id) that stands for the text.
+ONE = (1, "the large archive and the query", 3)
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,13 +69,21 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _batch(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame(BATCH, "query_id bigint, query string, vec_id bigint")
-    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("qvec"))
-    return rows.join(vectors, "vec_id")
+    """All searches of the table queries that aren't blank, each id once, and for each a vector: of those whose id is divisible by
+    100, in order, the one whose number is the remainder of the query's id."""
+    rows = table(spark, folder, "queries").select("query_id", "query").dropDuplicates(["query_id"]).filter(~is_blank(F.col("query")))
+    return rows.join(F.broadcast(_numbered(spark, folder)), F.col("query_id") % F.col("m") == F.col("i")).drop("m", "i")
+
+
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """i, m, vec_id, qvec: every hundredth vector with its number, and how many there are (fixed, some dozens)."""
+    vectors = table(spark, folder, "embeddings").filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("qvec"))
+    place = F.row_number().over(Window.orderBy("vec_id")) - 1
+    return vectors.withColumn("i", place).crossJoin(vectors.agg(F.count(F.lit(1)).alias("m")))
 
 
 def _one(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BATCH[:1], "query_id bigint, query string, vec_id bigint")
+    return spark.createDataFrame([ONE], "query_id bigint, query string, vec_id bigint")
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,8 +114,10 @@ def _r(column: str | Column) -> Column:
     return F.round(column, 6)
 
 
-def _values(n: int = len(BATCH)) -> str:
-    return "(VALUES " + ",".join(f"({i}::BIGINT,'{q}',{v}::BIGINT)" for i, q, v in BATCH[:n]) + ") AS b(query_id, query, vec_id)"
+_NUMBERED = "(SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS m FROM embeddings WHERE vec_id % 100 = 0)"
+_BATCH = f"""(SELECT query_id, query, vec_id FROM (SELECT query_id, any_value(query) AS query FROM queries GROUP BY query_id)
+    JOIN {_NUMBERED} ON query_id % m = i WHERE trim(coalesce(query, ''), {WS}) <> '') AS b"""
+_ONE = f"(VALUES ({ONE[0]}::BIGINT,'{ONE[1]}',{ONE[2]}::BIGINT)) AS b(query_id, query, vec_id)"
 
 
 def _lexical_sql(k1=1.5, b=0.75, k: object = 10, stop: bool = False, where: str = "", docs: str = "", batch: str | None = None) -> str:
@@ -129,7 +134,7 @@ def _lexical_sql(k1=1.5, b=0.75, k: object = 10, stop: bool = False, where: str
     post AS (SELECT term, chunk_id, count(*)::INT AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM d) GROUP BY term, chunk_id),
     st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
     idf AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM post, st GROUP BY term),
-    q AS (SELECT DISTINCT query_id, unnest({query_toks}) AS term FROM {batch or _values()}),
+    q AS (SELECT DISTINCT query_id, unnest({query_toks}) AS term FROM {batch or _BATCH}),
     sc AS (SELECT query_id, chunk_id, seq, sum(idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score
         FROM q JOIN post USING (term) JOIN idf USING (term) JOIN len USING (chunk_id), st GROUP BY query_id, chunk_id, seq),
     lex AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
@@ -143,11 +148,11 @@ _SCORE_SQL = {
 }
 
 
-def _near_sql(k: object = 10, metric: str = "cosine", among: str = "embeddings") -> str:
+def _near_sql(k: object = 10, metric: str = "cosine", among: str = "embeddings", batch: str = _BATCH) -> str:
     """CTE vec (query_id, chunk_id, score, rank)."""
     return f"""vec AS (SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, v.vec_id AS chunk_id,
         {_SCORE_SQL[metric]} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round({_SCORE_SQL[metric]}, 9) DESC,
-        v.vec_id)::INT AS rank FROM {among} v, {_values()} JOIN embeddings w ON w.vec_id = b.vec_id) WHERE rank <= {k})"""
+        v.vec_id)::INT AS rank FROM {among} v, {batch} JOIN embeddings w ON w.vec_id = b.vec_id) WHERE rank <= {k})"""
 
 
 # text
@@ -294,7 +299,7 @@ def _bm25(spark, folder, params=LexicalParams(), k=10, queries=None, docs=None)
 _LEX_OUT = "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex"
 
 
-@query(f"WITH {_lexical_sql(batch=_values(1))} {_LEX_OUT}")
+@query(f"WITH {_lexical_sql(batch=_ONE)} {_LEX_OUT}")
 def bm25_topk(spark, folder):
     return _bm25(spark, folder, queries=_one(spark))
 
@@ -364,35 +369,24 @@ def index_clear(spark, folder):
 
 # vectors
 
-@query(
-    """SELECT vec_id, i::INT AS place, round((CASE WHEN n > 1e-12 THEN x / n ELSE x END)::FLOAT::DOUBLE, 6) AS x FROM (SELECT vec_id, n,
-    unnest(e) AS x, unnest(range(0, len(e))) AS i FROM (SELECT vec_id, embedding::DOUBLE[] AS e,
-    sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)) WHERE i < 8"""
-)
-def l2_normalized(spark, folder):
-    """The first 8 numbers of each unit vector."""
-    v = table(spark, folder, "embeddings").select("vec_id", F.posexplode(F.slice(l2_normalize(F.col("embedding").cast("array<double>")), 1, 8)))
-    return v.select("vec_id", F.col("pos").alias("place"), _r(F.col("col").cast("double")).alias("x"))
-
-
 @query(
     """SELECT vec_id, i::INT AS place, round((CASE WHEN n > 1e-12 THEN x / n ELSE x END)::FLOAT::DOUBLE, 6) AS x FROM (SELECT vec_id, n,
     unnest(e) AS x, unnest(range(0, len(e))) AS i FROM (SELECT vec_id, embedding::DOUBLE[] AS e,
     sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings))"""
 )
-def l2_normalized_whole(spark, folder):
+def l2_normalized(spark, folder):
     """All numbers of each unit vector."""
     v = table(spark, folder, "embeddings").select("vec_id", F.posexplode(l2_normalize(F.col("embedding").cast("array<double>"))))
     return v.select("vec_id", F.col("pos").alias("place"), _r(F.col("col").cast("double")).alias("x"))
 
 
 def _knn(spark, folder, metric) -> DataFrame:
-    query_vector = table(spark, folder, "embeddings").filter(f"vec_id = {BATCH[0][2]}").head()["embedding"]
+    query_vector = table(spark, folder, "embeddings").filter(f"vec_id = {ONE[2]}").head()["embedding"]
     return knn(_vectors(spark, folder), query_vector, metric, 10).select("chunk_id", _r("score").alias("score"))
 
 
 def _knn_sql(metric: str) -> str:
-    return f"WITH {_near_sql(10, metric)} SELECT chunk_id, round(score, 6) AS score FROM vec WHERE query_id = {BATCH[0][0]}"
+    return f"WITH {_near_sql(10, metric, batch=_ONE)} SELECT chunk_id, round(score, 6) AS score FROM vec"
 
 
 @query(_knn_sql("cosine"))
@@ -718,3 +712,163 @@ def tool_context(spark, folder):
     tables = _tables(spark, folder)
     found = search_rankings(tables, _batch(spark, folder), mode="bm25")
     return context_text(with_content(found, tables.chunks))
+
+
+# the engine, over all of source_docs
+
+def _engine(spark, folder, **kwargs) -> Engine:
+    engine = Engine(spark, **kwargs)
+    quoted = lambda k, v: F.coalesce(F.concat(F.lit('"'), F.regexp_replace(v, r'(["\\\\])', r"\\$1"), F.lit('"')), F.lit("null"))
+    rows = table(spark, folder, "source_docs").select(
+        F.col("id").alias("doc_id"),
+        F.coalesce("content", F.lit("")).alias("content"),
+        F.transform_values("metadata", quoted).alias("metadata"),
+        "seq",
+    )
+    engine.add_table(rows)
+    return engine
+
+
+_CUT = "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index"
+_SOURCE = "(SELECT id AS doc_id, any_value(content) AS text, max(seq) AS seq, 0 AS later FROM source_docs GROUP BY id)"
+_REPLACED = f"""(SELECT doc_id, CASE WHEN seq % 5 = 0 THEN 'archive query ' || doc_id ELSE text END AS text, seq,
+    (seq % 5 = 0)::INT AS later FROM {_SOURCE})"""
+
+
+def _engine_chunks_sql(source: str = _SOURCE) -> str:
+    """chunk_id, document_id, chunk_index, total_chunks, seq, content."""
+    body = _recursive_sql(500, 50).replace("FROM documents", f"FROM {source}")
+    body = body[: body.index(_CUT)]
+    return f"""SELECT doc_id || '_chunk_' || chunk_index AS chunk_id, doc_id AS document_id, chunk_index,
+        count(*) OVER (PARTITION BY doc_id)::INT AS total_chunks,
+        row_number() OVER (ORDER BY later, dseq, doc_id, chunk_index) - 1 AS seq, content
+        FROM ({body} {_CUT}, done AS content FROM c) JOIN (SELECT doc_id, seq AS dseq, later FROM {source}) USING (doc_id)"""
+
+
+_ENGINE_OUT = """SELECT query_id, chunk_id, document_id, md5(content) AS digest, round(score, 6) AS score, round(score, 6) AS lexical_score,
+    rank FROM lex JOIN (SELECT chunk_id, content, regexp_replace(chunk_id, '_chunk_[0-9]+$', '') AS document_id FROM src) USING (chunk_id)"""
+
+
+def _engine_rows(found: DataFrame) -> DataFrame:
+    return found.select(
+        "query_id", "chunk_id", "document_id", F.md5("content").alias("digest"), _r("score").alias("score"), _r("lexical_score").alias("lexical_score"), "rank"
+    )
+
+
+def _texts_of_batch(spark, folder) -> DataFrame:
+    return _batch(spark, folder).select("query_id", "query")
+
+
+@query(f"SELECT chunk_id, document_id, chunk_index, total_chunks, seq, md5(content) AS digest FROM ({_engine_chunks_sql()})")
+def engine_chunks(spark, folder):
+    """What the engine makes of a table of documents: redelivered ones once, in order of arrival, blank ones not at all."""
+    return _engine(spark, folder).chunks.select(
+        "chunk_id", "document_id", "chunk_index", "total_chunks", "seq", F.md5("content").alias("digest")
+    )
+
+
+@query(f"WITH {_lexical_sql(docs=_engine_chunks_sql())} {_ENGINE_OUT}")
+def engine_bm25(spark, folder):
+    """All searches of the table queries in an engine over all of source_docs."""
+    return _engine_rows(_engine(spark, folder).search_table(_texts_of_batch(spark, folder), 10, "bm25"))
+
+
+@query(f"WITH {_lexical_sql(docs=_engine_chunks_sql())} {_ENGINE_OUT}")
+def engine_save_load(spark, folder):
+    """The same in an engine that was stored, with its manifest, and read back."""
+    path = new_path(spark, "index")
+    _engine(spark, folder).save(path)
+    return _engine_rows(Engine.load(path, spark=spark).search_table(_texts_of_batch(spark, folder), 10, "bm25"))
+
+
+@query(f"WITH {_lexical_sql(docs=_engine_chunks_sql(_REPLACED))} {_ENGINE_OUT}")
+def engine_upsert(spark, folder):
+    """The same after every fifth document was added again with another text, which moves it to the end."""
+    engine = _engine(spark, folder)
+    last = table(spark, folder, "source_docs").groupBy(F.col("id").alias("doc_id")).agg(F.max("seq").alias("seq"))
+    again = last.filter("seq % 5 = 0").withColumn("content", F.concat(F.lit("archive query "), "doc_id"))
+    empty = F.create_map().cast("map<string,string>").alias("metadata")
+    engine.add_table(again.select("doc_id", "content", empty, "seq"))
+    return _engine_rows(engine.search_table(_texts_of_batch(spark, folder), 10, "bm25"))
+
+
+@query("SELECT 0::BIGINT AS chunks, 0::BIGINT AS vectors, 0::BIGINT AS hits")
+def engine_clear(spark, folder):
+    engine = _engine(spark, folder)
+    engine.clear()
+    hits = engine.search_table(_texts_of_batch(spark, folder), 10).count()
+    return spark.createDataFrame([(len(engine), len(engine.store), hits)], "chunks bigint, vectors bigint, hits bigint")
+
+
+@query(
+    f"""WITH {_lexical_sql(k=5, docs=_engine_chunks_sql(), batch=_ONE)} SELECT string_agg('[' || rank || '] (Score: ' || printf('%.4f', score) ||
+    ', Doc ID: ' || regexp_replace(chunk_id, '_chunk_[0-9]+$', '') || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context
+    FROM lex JOIN src USING (chunk_id)"""
+)
+def engine_tool(spark, folder):
+    """What the engine tells an agent."""
+    tool = _engine(spark, folder).to_tool(mode="bm25")
+    return spark.createDataFrame([(tool(ONE[1]),)], "context string")
+
+
+@query()
+def engine_modes(spark, folder):
+    """All searches in the three modes, exactly and by cells, in one engine each: the same hits as often as cells find them."""
+    asked, out = _texts_of_batch(spark, folder), None
+    for backend in ("exact", "cells"):
+        engine = _engine(spark, folder, vector_backend=backend)
+        for mode in ("bm25", "vector", "hybrid"):
+            found = engine.search_table(asked, 10, mode).select(F.lit(backend).alias("store"), F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank")
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+# searches that each have their own mode, size, fusion, weight and filter, over all of chunks
+
+_REQUESTS = f"""(SELECT query_id, query, coalesce(lower(search_mode), 'hybrid') AS mode, top_k, coalesce(lower(fusion), 'rrf') AS fusion,
+    coalesce(alpha, 0.5) AS alpha, CASE WHEN cardinality(f) > 0 THEN f END AS f,
+    CASE WHEN cardinality(f) > 0 THEN greatest(4 * top_k, 40) ELSE top_k END AS wide, embedding AS qvec FROM
+    (SELECT query_id, any_value(query) AS query, any_value(search_mode) AS search_mode, any_value(top_k) AS top_k, any_value(fusion) AS fusion,
+        any_value(alpha) AS alpha, any_value(metadata_filter) AS f FROM queries GROUP BY query_id)
+    JOIN {_NUMBERED} ON query_id % m = i WHERE trim(coalesce(query, ''), {WS}) <> '' AND top_k > 0)"""
+_CHUNK_ROWS = """(SELECT id AS chunk_id, any_value(document_id) AS document_id, coalesce(any_value(content), '') AS content,
+    any_value(metadata) AS own, min(seq) AS seq FROM chunks GROUP BY id)"""
+
+
+@query(
+    f"""WITH how AS {_REQUESTS}, {_lexical_sql(k=1 << 30, docs=f"SELECT chunk_id, seq, content FROM {_CHUNK_ROWS}", batch="(SELECT query_id, query FROM how WHERE mode <> 'vector')")},
+    e AS (SELECT id AS chunk_id, any_value(embedding) AS embedding, min(seq) AS seq FROM chunks WHERE len(embedding) = 64 AND
+        isfinite(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY id),
+    vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq)::INT AS rank FROM (SELECT query_id, chunk_id, seq,
+        list_cosine_similarity(embedding::DOUBLE[], qvec::DOUBLE[]) AS score FROM e, how WHERE mode <> 'bm25')),
+    j AS (SELECT query_id, chunk_id, score, rank, true AS near FROM vec UNION ALL SELECT query_id, chunk_id, score, rank, false FROM lex),
+    b AS (SELECT j.*, how.* EXCLUDE (query_id), min(score) OVER s AS lo, max(score) OVER s AS hi FROM j JOIN how USING (query_id) WHERE rank <= wide
+        WINDOW s AS (PARTITION BY query_id, near)),
+    g AS (SELECT query_id, chunk_id, mode, any_value(top_k) AS top_k, any_value(f) AS f, sum(CASE WHEN mode <> 'hybrid' THEN score WHEN fusion = 'rrf'
+            THEN 1::DOUBLE / (60 + rank) ELSE (CASE WHEN near THEN alpha ELSE 1 - alpha END) * (CASE WHEN hi - lo < 1e-12 THEN 1 ELSE (score - lo) / (hi - lo) END) END) AS score,
+        max(CASE WHEN near THEN score END) AS vs, max(CASE WHEN NOT near THEN score END) AS ls, max(CASE WHEN mode <> 'hybrid' THEN rank END) AS place
+        FROM b GROUP BY query_id, chunk_id, mode),
+    m AS (SELECT g.*, own, inh FROM g JOIN {_CHUNK_ROWS} c USING (chunk_id) LEFT JOIN (SELECT id AS document_id, any_value(metadata) AS inh FROM source_docs
+        GROUP BY id) d USING (document_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place NULLS FIRST, round(score, 12) DESC, chunk_id)::INT AS rank FROM m WHERE f IS NULL OR
+        len(list_filter(map_entries(f), lambda x: NOT coalesce(CASE WHEN list_contains(map_keys(own), x.key) THEN own[x.key] ELSE inh[x.key] END = x.value, false))) = 0)
+    SELECT query_id, chunk_id, round(score, 6) AS score, round(vs, 6) AS vector_score, round(ls, 6) AS lexical_score, rank FROM r WHERE rank <= top_k"""
+)
+def search_as_asked(spark, folder):
+    """Every row of the table queries with its own mode, top_k, fusion, alpha and filter, over all chunks and their documents' metadata."""
+    rows = table(spark, folder, "chunks").select("id", "document_id", "content", "metadata", "seq")
+    first = rows.groupBy(F.col("id").alias("chunk_id")).agg(
+        F.min_by(F.struct("document_id", "content", "metadata"), "seq").alias("x"), F.min("seq").alias("seq")
+    )
+    chunks = materialize(
+        first.select("chunk_id", "x.document_id", F.coalesce("x.content", F.lit("")).alias("content"), F.col("x.metadata").alias("metadata"), "seq"), "chunks"
+    )
+    documents = table(spark, folder, "source_docs").groupBy(F.col("id").alias("doc_id")).agg(F.min_by("metadata", "seq").alias("metadata"))
+    postings, lengths = build_index(chunks, LexicalParams())
+    tables = IndexTables(documents, chunks, materialize(_chunk_vectors(spark, folder), "vectors"), materialize(postings, "postings"), materialize(lengths, "lengths"))
+    asked = table(spark, folder, "queries").dropDuplicates(["query_id"])
+    asked = asked.join(F.broadcast(_numbered(spark, folder)), F.col("query_id") % F.col("m") == F.col("i"))
+    found = search_requests(tables, asked)
+    return found.select(
+        "query_id", "chunk_id", _r("score").alias("score"), _r("vector_score").alias("vector_score"), _r("lexical_score").alias("lexical_score"), "rank"
+    )

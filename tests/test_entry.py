@@ -43,7 +43,7 @@ def test_every_number_of_a_unit_vector(spark):
     from seekstone.plans import queries
 
     lengths = {r["vec_id"]: len(r["embedding"]) for r in pq.read_table(f"{DATA}/embeddings.parquet").to_pylist()}
-    got = queries.QUERIES["l2_normalized_whole"](spark, DATA).toPandas()
+    got = queries.QUERIES["l2_normalized"](spark, DATA).toPandas()
     assert got.groupby("vec_id")["place"].agg(lambda p: sorted(p) == list(range(len(p))) and len(p)).to_dict() == lengths
 
 
