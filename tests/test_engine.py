@@ -233,3 +233,104 @@ def test_stream(spark, tmp_path):
     query = ingest_stream(e, stream, str(tmp_path / "cp"))
     query.awaitTermination()
     assert len(e) == 2 and e.search("cats", 1, "bm25")[0].document_id == "a"
+
+
+def test_shared_folder_is_never_one_machine_s(spark):
+    from types import SimpleNamespace
+
+    from seekstone import session
+
+    def cluster(master, named=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda *a: named), sparkContext=SimpleNamespace(master=master, applicationId="x", getCheckpointDir=lambda: None)
+        )
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(SeekstoneError, match="spark.checkpoint.dir"):
+            session.shared_dir(cluster(master))
+        assert session.shared_dir(cluster(master, "hdfs://x/y/")) == "hdfs://x/y"
+
+
+def test_round_trip_by_uri(spark, engine, tmp_path):
+    path = (tmp_path / "deep" / "i").as_uri()
+    engine.save(path)
+    assert len(Engine.load(path + "/", spark=spark)) == len(engine) and files.exists(f"{path}/manifest.json")
+
+
+def test_parts_that_do_not_belong_together(spark, engine, tmp_path):
+    path = str(tmp_path / "i")
+    engine.save(path)
+    data = files.read_json(f"{path}/manifest.json")["data"]
+    held = spark.createDataFrame(engine.postings.collect(), engine.postings.schema)
+    held.limit(1).write.mode("overwrite").parquet(f"{path}/{data}/postings")
+    with pytest.raises(SerializationError, match="postings"):
+        Engine.load(path, spark=spark)
+
+
+def test_many_changes_are_written_whole(spark, monkeypatch):
+    """Appended changes, and those that replace, give what one build gives; superseded tables go at once."""
+    import seekstone.engine as module
+    from seekstone import session
+
+    monkeypatch.setattr(module, "COMPACT_AFTER", 3)
+    engine, whole = Engine(spark), Engine(spark)
+    texts = {f"d{n}": f"moon number{n} " + "dust " * n for n in range(5)}
+    for name, text in texts.items():
+        engine.add_documents([Document(name, "old text about the sun", {})])
+        engine.add_documents([Document(name, text, {})])
+    written = len(session._WRITTEN)
+    whole.add_documents([Document(n, t, {}) for n, t in texts.items()])
+    for query in ("moon", "dust number3", "sun"):
+        got, want = (e.search(query, 5, "bm25") for e in (engine, whole))
+        assert [(h.chunk_id, round(h.score, 9)) for h in got] == [(h.chunk_id, round(h.score, 9)) for h in want]
+    assert len(engine) == len(whole) == len(engine.store) == 5 and written < 200
+
+
+def test_prefilter_keeps_the_frequencies_of_the_index(spark):
+    engine = Engine(spark)
+    engine.add_texts(["cat one", "cat two", "cat three", "dog four"], [{"k": "a"}, {"k": "b"}, {"k": "b"}, {"k": "b"}])
+    plain = {h.content: h.score for h in engine.search("cat dog", 10, "bm25")}
+    first = engine.search("cat dog", 10, "bm25", filter_metadata={"k": "b"}, prefilter=True)
+    assert {h.content: h.score for h in first} == {t: s for t, s in plain.items() if t != "cat one"}
+
+
+def test_model_embedders_are_built_in_the_task(spark):
+    from seekstone.embedders import _BUILT, _in_task, _ModelEmbedder, embed_table
+
+    class Lengths(_ModelEmbedder):
+        backend, query_prefix = "hash", "query: "
+
+        def __init__(self):
+            super().__init__("hash-8", 8, {"dimension": 8})
+
+        def _encode(self, texts, batch_size):
+            return np.array([[len(t)] * 8 for t in texts], np.float32)
+
+        def __reduce__(self):
+            raise TypeError("models don't travel")
+
+    one = Lengths()
+    assert one.embed_queries(["ab"])[0][0] == 9 and one.embed_query("ab")[0] == 9 and one.embed_documents(["ab"])[0][0] == 2
+    assert _in_task(one.recipe()) is _in_task(one.recipe()) and repr(one.recipe()) in _BUILT
+    embed_table(one, spark.createDataFrame([(1, "x")], "id int, t string"), "id", "t")  # planned without pickling the model
+
+
+@pytest.mark.parametrize("metric", ["cosine", "inner_product", "l2"])
+def test_cells_find_nearly_all(spark, tmp_path, metric):
+    from seekstone.operators.vector import knn_batch
+
+    rng = np.random.default_rng(1)
+    x = normalized(rng.normal(size=(40, 8))[rng.integers(0, 40, 5000)] + 0.3 * rng.normal(size=(5000, 8)))
+    rows = [(f"v{n}", [float(a) for a in v], n) for n, v in enumerate(x)]
+    held = spark.createDataFrame(rows, "chunk_id string, embedding array<float>, seq bigint")
+    store = VectorStoreRegistry.create("cells", 8, metric, spark)
+    store.add_table(held)
+    assert len(store.fitted()[0].centres) > 20 and store.fitted() is not None and store.fitted()[1] is store.fitted()[1]
+    asked = held.filter("seq % 50 = 0").selectExpr("seq AS query_id", "embedding AS qvec", "IF(seq % 100 = 0, 10, 3) AS k")
+    got = {(r["query_id"], r["chunk_id"]) for r in store.search_batch(asked, "k").collect()}
+    want = {(r["query_id"], r["chunk_id"]) for r in knn_batch(held, asked, metric, "k").collect()}
+    assert len(got & want) >= 0.97 * len(want) and all((n, f"v{n}") in got for n in range(0, 5000, 50))
+    store.save(str(tmp_path / "s"))
+    again = VectorStoreRegistry.create("cells", 8, metric, spark)
+    again.load(str(tmp_path / "s"), spark)
+    assert again.fitted()[0].probes == store.fitted()[0].probes and again.search(x[5], 3) == store.search(x[5], 3)

@@ -125,3 +125,34 @@ def test_normalizers(spark):
     same = ranking(spark, ("a", 2), ("b", 2))
     assert get(fusion.minmax(same)) == {"a": 1.0, "b": 1.0} and get(fusion.zscore(same)) == {"a": 0.0, "b": 0.0}
     assert get(fusion.zscore(ranking(spark, ("a", 1), ("b", 2), ("c", 3))))["c"] == 1.224745
+
+
+@pytest.mark.parametrize("tile", [7, 4_000_000])
+def test_many_searches_equal_single_ones(spark, monkeypatch, tile):
+    """The way by chunks: ties, limits of each search, words that nobody has, and several rounds of searches."""
+    from seekstone.operators import lexical
+
+    rng = random.Random(2)
+    pool = [f"w{n}" for n in range(12)]
+    docs = {f"r{n:02}": " ".join(rng.choices(pool, k=rng.randint(0, 9))) for n in range(60)} | {"null": None}
+    held = index(spark, docs)
+    asked = [(n, " ".join(rng.choices(pool + ["unknown"], k=rng.randint(0, 5))), rng.choice([0, 1, 3, 100, None])) for n in range(40)]
+    queries = spark.createDataFrame(asked, "query_id bigint, query string, k int")
+    monkeypatch.setattr(lexical, "FEW_TERMS", 0)
+    monkeypatch.setattr(lexical, "TILE", tile)
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 60)
+    got = {}
+    for r in bm25(queries, *held, LexicalParams(), "k").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], round(r["score"], 9)))
+    for n, text, k in asked:
+        want = [(i, round(s, 9)) for i, s in brute(docs, text, LexicalParams())[: k or 0]]
+        assert got.get(n, []) == want
+
+
+def test_word_counts_stay_in_their_row(spark):
+    from seekstone.functions.text import word_counts
+
+    df = spark.createDataFrame([(1, "a b A", "x"), (1, "a", "y"), (2, None, "z"), (3, "", "z")], "id int, t string, term string")
+    rows = sorted(tuple(r) for r in word_counts(df.select("id", "t"), ["id"], "t").collect())
+    assert rows == [(1, 1, "a", 1), (1, 3, "a", 2), (1, 3, "b", 1)]
+    assert "Exchange" not in word_counts(df.select("id", "t"), ["id"], "t")._jdf.queryExecution().executedPlan().toString()
