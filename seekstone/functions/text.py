@@ -130,7 +130,7 @@ def word_counts(df, key: list[str], text: str, lowercase: bool = True, stopwords
 
     Rows without a word give none.  All words of a row are in one row, so they are counted there, batch by batch: nothing is
     shuffled, and the rows of a key stay together."""
-    rows = df.select(*key, words(F.col(text), lowercase, stopwords).alias("_words")).filter(F.size("_words") > 0)
+    rows = df.select(*key, words(F.col(text), lowercase, stopwords).alias("_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
