@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seekstone.functions.text import words
+from seekstone.functions.text import word_counts
 from seekstone.session import materialize
 
 #: A word is hot if more than this share of all (record, word) pairs are its own; so there are at most 1,000.
@@ -40,10 +40,8 @@ def distinctive_terms(
     narrow = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def counted(rows: DataFrame) -> DataFrame:
-        """The length comes with the row, so it needs no shuffle of its own."""
-        cut = rows.select("key", words(F.col("text"), lowercase).alias("w"))
-        each = cut.select("key", F.size("w").alias("length"), F.explode("w").alias("term"))
-        return each.groupBy("key", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        """``(key, length, term, tf)``; the length comes with the row, and nothing is shuffled."""
+        return word_counts(rows, ["key"], "text", lowercase)
 
     counts = counted(narrow)
     # read several times below, so it is stored: the words are cut once
