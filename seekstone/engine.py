@@ -137,7 +137,9 @@ class Engine:
         documents = documents.dropDuplicates(["doc_id"])
         cut = chunk_documents(spread(documents), chunker)
         # order: documents as given, then chunks within; numbered without bringing all rows together
-        cut = materialize(self._numbered(cut, ["seq", "document_id", "chunk_index"]), "chunks")
+        numbered, ranged = self._numbered(cut, ["seq", "document_id", "chunk_index"])
+        cut = materialize(numbered, "chunks")
+        discard([ranged])
         ids = materialize(cut.select(F.col("document_id").alias("doc_id")).distinct(), "ids")
         if ids.isEmpty():
             return ids
@@ -184,8 +186,8 @@ class Engine:
     def _next_document(self) -> int:
         return self.documents.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).head()["n"]
 
-    def _numbered(self, chunks: DataFrame, order: list[str]) -> DataFrame:
-        """``seq`` after all that are there: sorted by ranges, numbered within a range, shifted by the ranges before it."""
+    def _numbered(self, chunks: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(numbered, a stored table that it reads): ``seq`` after all that are there: sorted by ranges, numbered within a range, shifted by the ranges before it."""
         start = self.chunks.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).head()["n"]
         ranged = materialize(
             chunks.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged"
@@ -195,7 +197,8 @@ class Engine:
         sizes = sizes.select("_range", before.alias("_before"))
         within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
         numbered = ranged.withColumn("_k", within).join(F.broadcast(sizes), "_range")
-        return numbered.withColumn("seq", (F.col("_before") + F.col("_k") - 1 + start).cast("bigint")).drop("_range", "_k", "_before")
+        numbered = numbered.withColumn("seq", (F.col("_before") + F.col("_k") - 1 + start).cast("bigint"))
+        return numbered.drop("_range", "_k", "_before"), ranged
 
     # retrieval
 
