@@ -45,7 +45,8 @@ TASK_QUERIES = 131_072
 MEASURED, LOCAL_MEASURED = 1_000, 256
 #: Share of the neighbours that the cells looked into must cover, and the parts of these.
 COVER = 0.97
-#: The same where only close pairs are asked for; a pair is found from either side.
+#: The same where only close pairs are asked for; a pair is found from either side.  As few close pairs are measured, one cell more,
+#: and at least a quarter of the parts, are looked into.
 COVER_CLOSE = 0.995
 #: Candidates beside the k best that are reranked; float32 products are this exact.
 MARGIN, SLACK = 4, 2e-6
@@ -298,7 +299,7 @@ def _measure(vectors: DataFrame, index: Index, n: int, k: int, floor: float | No
     if floor is None:
         index.probes = _enough(ranks, COVER, index.cells)
     else:
-        index.probes = min(index.cells, max(3, _enough(ranks, COVER_CLOSE, index.cells)))
+        index.probes = min(index.cells, max(3, _enough(ranks, COVER_CLOSE, index.cells) + 1))
 
 
 # looking for vectors among others
@@ -382,7 +383,7 @@ class Cell:
         keep = _best(i, j, s, self.k)
         routes = _top(self.router.logits(q), self.parts)
         ranks = (routes[i[keep]] == self.part[j[keep]][:, None]).argmax(axis=1)
-        cover, few = (COVER, 4) if self.floor is None else (COVER_CLOSE, max(4, self.parts // 8))
+        cover, few = (COVER, 4) if self.floor is None else (COVER_CLOSE, max(6, self.parts // 4))
         self.probes = min(self.parts, max(few, _enough(ranks, cover, self.parts)))
 
     def look(self, q: np.ndarray, qid: np.ndarray, least: np.ndarray):
