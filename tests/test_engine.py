@@ -336,3 +336,26 @@ def test_cells_find_nearly_all(spark, tmp_path, metric):
     again = VectorStoreRegistry.create("cells", 8, metric, spark)
     again.load(str(tmp_path / "s"), spark)
     assert again.fitted()[0].probes == store.fitted()[0].probes and again.search(x[5], 3) == store.search(x[5], 3)
+
+
+def test_requests_of_all_kinds(spark):
+    """Nothing asked, an empty index, and searches with nulls, blanks, filters and modes in any case."""
+    schema = "query_id bigint, query string, search_mode string, top_k int, fusion string, alpha double, metadata_filter map<string,string>"
+    engine = Engine(spark)
+    asked = [
+        (1, "moon", None, 3, None, None, None),
+        (2, " ", "bm25", 3, None, None, None),
+        (3, "moon", "vector", None, None, None, None),
+        (4, "Moon dust", "BM25", 2, None, None, {"k": '"a"'}),
+        (5, None, "hybrid", 3, "linear", 0.2, {}),
+        (6, "moon", "hybrid", 3, "linear", 0.2, {"k": '"c"'}),
+    ]
+    requests = spark.createDataFrame(asked, schema)
+    assert engine.search_requests(requests).count() == 0
+    engine.add_texts(["moon dust", "sun"], [{"k": "a"}, {"k": "b"}])
+    assert engine.search_requests(requests.limit(0)).count() == 0
+    got = sorted((r["query_id"], r["content"], r["rank"]) for r in engine.search_requests(requests).collect())
+    assert got == [(1, "moon dust", 1), (1, "sun", 2), (4, "moon dust", 1)]
+    odd = spark.createDataFrame([(1, "moon", "other", 3, None, None, None)], schema)
+    with pytest.raises(Exception, match="SearchMode"):
+        engine.search_requests(odd).count()
