@@ -1,13 +1,13 @@
 """Exact and approximate search in a table of vectors ``(chunk_id, embedding, seq)``.
 
 A single query is an expression over the table and a top-k that Spark keeps per task.  A batch of queries is a matrix product
-per Arrow batch: the queries travel to the tasks in blocks of checked size, each task keeps its own k best, and only
-these are shuffled.
+per Arrow batch, a tile of scores at a time: the queries travel to the tasks in blocks of checked size, each task keeps its own
+k best, and only these are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +16,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from seekstone.errors import VectorStoreError
 from seekstone.functions.vectors import EPS, SCORES
+from seekstone.operators.best import BLOCK_HITS, Best, gathered
 from seekstone.operators.lexical import top
 
 #: Numbers in a block of queries that travels to every task (32 MB in double precision).
 BLOCK_NUMBERS = 4_000_000
+#: Scores, or distances to centres, that are held at once.
+TILE = 1_000_000
+#: What a task gives, with the type of chunk ids.
+FOUND = "query_id bigint, chunk_id {}, score double, seq bigint, k int"
 
 
 def check_dimension(dim: int) -> None:
@@ -56,46 +61,65 @@ def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.maximum(squares, 0.0))
 
 
-def _block(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, metric: str, k: int) -> DataFrame:
-    """Of each query of the block the k best, by every task for its vectors."""
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = shared.value
-        best: list[pa.Table] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            chunk = batch.column(0)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            s = _scores(metric, q, x)
-            if len(x) > k:
+def _add(best: Best, metric: str, q: np.ndarray, asks: np.ndarray, batch: pa.RecordBatch) -> None:
+    """Score the vectors of a batch ``(chunk_id, embedding, seq)`` for the queries at ``asks``, as many scores at once as a tile
+    holds.  ``q`` is :func:`_ready`."""
+    x = _ready(metric, batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1))
+    seq, base = batch.column(2).to_numpy(), best.rows(batch.column(0))
+    for b in range(0, len(x), TILE):
+        part = x[b : b + TILE]
+        step = max(1, TILE // len(part))
+        for a in range(0, len(asks), step):
+            some = asks[a : a + step]
+            s = _scores("inner_product" if metric == "cosine" else metric, q[some], part)
+            least, most = best.bound[some], int(best.ks[some].max())
+            if len(part) > most and np.isneginf(least).any():
                 # everything not below the k-th best, so that ties are left to the final order
-                kth = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
-                row, col = np.nonzero(s >= kth[:, None] - 1e-9)
-            else:
-                row, col = np.divmod(np.arange(s.size), len(x))
-            best.append(
-                pa.table({"query_id": q_ids[row], "chunk_id": chunk.take(pa.array(col)), "score": s[row, col], "seq": batch.column(2).take(pa.array(col))})
-            )
-            if sum(map(len, best)) > 20 * k * len(q_ids) + 100_000:
-                best = [_kept(best, k)]
-        if best:
-            yield from _kept(best, k).to_batches(max_chunksize=50_000)
-
-    kind = dict(vectors.dtypes)["chunk_id"]
-    return vectors.select("chunk_id", "embedding", "seq").mapInArrow(
-        run, f"query_id bigint, chunk_id {kind}, score double, seq bigint"
-    )
+                least = np.maximum(least, np.partition(s, len(part) - most, axis=1)[:, len(part) - most] - 1e-9)
+            row, col = np.nonzero(s >= least[:, None])
+            best.add(some[row], s[row, col], seq[b + col], base + b + col)
+
+
+def _near(batches: Iterator[pa.RecordBatch], names: np.ndarray, q: np.ndarray, ks: np.ndarray, metric: str) -> Iterator[pa.RecordBatch]:
+    """Vectors ``(chunk_id, embedding, seq)`` -> of each query the ``ks`` best of these."""
+    best, everyone = Best(ks), np.arange(len(names))
+    for batch in batches:
+        if len(batch):
+            _add(best, metric, q, everyone, batch)
+    yield from best.batches(names)
+
+
+def _blocks(queries: DataFrame, k: int | str, each: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and k of the queries that ask for something, a block at a time, never all; those of another length go into
+    another block.  ``each``: numbers that come to each query besides its vector."""
+    wanted = queries.select("query_id", "qvec", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k"))
+    ids, held, ks, hits = [], [], [], 0
+    for row in wanted.filter("qvec IS NOT NULL AND k > 0").sort(F.size("qvec"), "k").toLocalIterator():
+        vector = np.array(row["qvec"], np.float64)
+        if held and (
+            len(vector) != len(held[0]) or len(held) * max(len(vector), each) >= BLOCK_NUMBERS or hits + row["k"] > BLOCK_HITS
+        ):
+            yield np.array(ids, np.int64), np.stack(held), np.array(ks, np.int64)
+            ids, held, ks, hits = [], [], [], 0
+        ids.append(row["query_id"])
+        held.append(vector)
+        ks.append(row["k"])
+        hits += row["k"]
+    if held:
+        yield np.array(ids, np.int64), np.stack(held), np.array(ks, np.int64)
 
 
-def _kept(tables: list[pa.Table], k: int) -> pa.Table:
-    t = pa.concat_tables(tables)
-    q, s, seq = (t.column(c).to_numpy() for c in ("query_id", "score", "seq"))
-    order = np.lexsort((seq, -np.round(s, 9), q))
-    start = np.flatnonzero(np.r_[True, q[order][1:] != q[order][:-1]])
-    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
-    return t.take(pa.array(order[rank < k])).combine_chunks()
+def _ranked(vectors: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """``(query_id, chunk_id, score, seq, rank)`` of what the tasks found."""
+    if not parts:
+        kind = dict(vectors.dtypes)["chunk_id"]
+        return vectors.sparkSession.createDataFrame(
+            [], f"query_id bigint, chunk_id {kind}, score double, seq bigint, rank int"
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return top(out, [F.round("score", 9).desc(), F.col("seq")], F.col("k")).drop("k")
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str, k: int | str) -> DataFrame:
@@ -103,43 +127,16 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, metric: str, k: int | str)
     number, or a column of ``queries``.
 
     Vectors without the query's number of numbers, or null, take no part.  k of 0 or less gives no row."""
-    if isinstance(k, str):
-        return limited(lambda q, n: knn_batch(vectors, q, metric, n), queries, k)
-    if k <= 0:
-        kind = dict(vectors.dtypes)["chunk_id"]
-        return vectors.sparkSession.createDataFrame(
-            [], f"query_id bigint, chunk_id {kind}, score double, seq bigint, rank int"
+    kind, parts = dict(vectors.dtypes)["chunk_id"], []
+    for names, q, ks in _blocks(queries, k):
+        shared = vectors.sparkSession.sparkContext.broadcast((names, _ready(metric, q), ks))
+        usable = gathered(vectors.filter(F.size("embedding") == q.shape[1]).select("chunk_id", "embedding", "seq"), int(ks.sum()))
+        parts.append(
+            usable.mapInArrow(
+                lambda batches, shared=shared: _near(batches, *shared.value, metric), FOUND.format(kind)
+            )
         )
-    out, ids, held, dim = None, [], [], 0
-
-    def flush() -> None:
-        nonlocal out, ids, held
-        if held:
-            usable = vectors.filter(F.size("embedding") == dim)
-            part = _block(usable, np.array(ids, np.int64), np.array(held, np.float64), metric, k)
-            out = part if out is None else out.unionByName(part)
-            ids, held = [], []
-
-    # a block of queries at a time, never all; those of another length go into another block
-    for row in queries.select("query_id", "qvec").filter("qvec IS NOT NULL").sort(F.size("qvec")).toLocalIterator():
-        if len(row["qvec"]) != dim:
-            flush()
-        dim = len(row["qvec"])
-        ids.append(row["query_id"])
-        held.append(row["qvec"])
-        if len(held) * dim >= BLOCK_NUMBERS:
-            flush()
-    flush()
-    if out is None:
-        return knn_batch(vectors, queries, metric, 0)
-    return top(out, [F.round("score", 9).desc(), F.col("seq")], k)
-
-
-def limited(search: Callable[[DataFrame, int], DataFrame], queries: DataFrame, k: str) -> DataFrame:
-    """A search for as many as any query wants, cut to the column ``k`` of each."""
-    deepest = queries.agg(F.coalesce(F.max(k), F.lit(0))).first()[0]
-    limits = queries.select("query_id", F.col(k).alias("_k")).dropDuplicates(["query_id"])
-    return search(queries, deepest).join(limits, "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
+    return _ranked(vectors, parts)
 
 
 @dataclass
@@ -150,9 +147,16 @@ class CellModel:
     probes: int
 
     def route(self, x: np.ndarray, most: int) -> np.ndarray:
-        """The nearest cells of each row, the nearest first."""
-        distance = (self.centres * self.centres).sum(1)[None, :] - 2.0 * (x @ self.centres.T)
-        return np.argsort(distance, axis=1, kind="stable")[:, :most]
+        """The nearest cells of each row, the nearest first; as many distances at once as a tile holds."""
+        own, step = (self.centres * self.centres).sum(1)[None, :], max(1, TILE // len(self.centres))
+        out = np.empty((len(x), min(most, len(self.centres))), np.int32)
+        for a in range(0, len(x), step):
+            distance = own - 2.0 * (x[a : a + step] @ self.centres.T)
+            if most == 1:
+                out[a : a + step, 0] = distance.argmin(axis=1)
+            else:
+                out[a : a + step] = np.argsort(distance, axis=1, kind="stable")[:, :most]
+        return out
 
 
 def _ready(metric: str, x: np.ndarray) -> np.ndarray:
@@ -183,7 +187,7 @@ def fit_cells(vectors: DataFrame, metric: str, sample: int = 20_000, cover: floa
         centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
     model = CellModel(centres, 1)
     nearest, asked = model.route(x, 1)[:, 0], x[:: max(1, len(x) // 256)]
-    true = np.argsort(-_scores(metric, asked, x), axis=1)[:, :10]
+    true = np.concatenate([np.argsort(-_scores(metric, some, x), axis=1)[:, :10] for some in np.array_split(asked, 8)])
     rank = (model.route(asked, len(centres))[:, None, :] == nearest[true][:, :, None]).argmax(axis=2)
     reached = np.cumsum(np.bincount(rank.ravel(), minlength=len(centres))) >= cover * rank.size
     model.probes = int(np.argmax(reached)) + 1
@@ -207,58 +211,40 @@ def in_cells(vectors: DataFrame, model: CellModel, metric: str) -> DataFrame:
     return placed.repartitionByRange("cell", "seq").sortWithinPartitions("cell", "seq")
 
 
-def approximate_batch(placed: DataFrame, model: CellModel, queries: DataFrame, metric: str, k: int) -> DataFrame:
+def _near_in_cells(batches: Iterator[pa.RecordBatch], names: np.ndarray, q: np.ndarray, ks: np.ndarray, asks: np.ndarray, cuts: np.ndarray, metric: str) -> Iterator[pa.RecordBatch]:
+    """Vectors ``(chunk_id, embedding, seq, cell)`` -> of each query the ``ks`` best of these in the cells it is looked for in;
+    ``asks[cuts[c] : cuts[c + 1]]``: the queries of a cell."""
+    best = Best(ks)
+    for batch in batches:
+        cell = batch.column(3).to_numpy()
+        for one in np.unique(cell):
+            mine = asks[cuts[one] : cuts[one + 1]]
+            if len(mine):
+                _add(best, metric, q, mine, batch.take(pa.array(np.flatnonzero(cell == one))))
+    yield from best.batches(names)
+
+
+def approximate_batch(placed: DataFrame, model: CellModel, queries: DataFrame, metric: str, k: int | str) -> DataFrame:
     """``(query_id, chunk_id, score, seq, rank)``: about the k best of each query, from the cells it is looked for in.  Scores are
-    exact.  With one cell it is :func:`knn_batch`."""
+    exact.  ``k``: a number, or a column of ``queries``.  With one cell it is :func:`knn_batch`."""
     vectors = placed.select("chunk_id", "embedding", "seq", "cell")
-    if len(model.centres) < 2 or k <= 0:
+    if len(model.centres) < 2:
         return knn_batch(vectors, queries, metric, k)
     kind, dim = dict(placed.dtypes)["chunk_id"], model.centres.shape[1]
-    out, ids, held = None, [], []
-
-    def flush() -> None:
-        nonlocal out, ids, held
-        if not held:
-            return
-        q, names = np.array(held, np.float64), np.array(ids, np.int64)
-        routes = model.route(_ready(metric, q), model.probes)
-        shared = placed.sparkSession.sparkContext.broadcast((names, q, routes))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q, routes = shared.value
-            best: list[pa.Table] = []
-            for batch in batches:
-                cell = batch.column(3).to_numpy()
-                for one in np.unique(cell):
-                    asks = np.flatnonzero((routes == one).any(axis=1))
-                    if not len(asks):
-                        continue
-                    at = np.flatnonzero(cell == one)
-                    some = batch.take(pa.array(at))
-                    x = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
-                    s = _scores(metric, q[asks], x)
-                    least = np.partition(s, len(at) - k, axis=1)[:, len(at) - k] - 1e-9 if len(at) > k else np.full(len(asks), -np.inf)
-                    row, col = np.nonzero(s >= least[:, None])
-                    best.append(
-                        pa.table({"query_id": names[asks[row]], "chunk_id": some.column(0).take(pa.array(col)), "score": s[row, col], "seq": some.column(2).take(pa.array(col))})
-                    )
-                    if sum(map(len, best)) > 20 * k * len(names) + 100_000:
-                        best[:] = [_kept(best, k)]
-            if best:
-                yield from _kept(best, k).to_batches(max_chunksize=50_000)
-
-        wanted = np.unique(routes)
+    parts = []
+    for names, q, ks in _blocks(queries.filter(F.size("qvec") == dim), k, model.probes):
+        q = _ready(metric, q)
+        routes = model.route(q, model.probes)
+        flat = routes.ravel()
+        order = np.argsort(flat, kind="stable")
+        cuts = np.searchsorted(flat[order], np.arange(len(model.centres) + 1))
+        asks = (order // routes.shape[1]).astype(np.int32)
+        shared = placed.sparkSession.sparkContext.broadcast((names, q, ks, asks, cuts))
+        wanted = np.unique(flat)
         rows = vectors.filter(F.col("cell").isin(wanted.tolist())) if len(wanted) < len(model.centres) // 2 else vectors
-        part = rows.mapInArrow(run, f"query_id bigint, chunk_id {kind}, score double, seq bigint")
-        out = part if out is None else out.unionByName(part)
-        ids, held = [], []
-
-    for row in queries.select("query_id", "qvec").filter(F.size("qvec") == dim).toLocalIterator():  # a block at a time
-        ids.append(row["query_id"])
-        held.append(row["qvec"])
-        if len(held) * dim >= BLOCK_NUMBERS:
-            flush()
-    flush()
-    if out is None:
-        return knn_batch(vectors, queries, metric, 0)
-    return top(out, [F.round("score", 9).desc(), F.col("seq")], k)
+        parts.append(
+            gathered(rows, int(ks.sum())).mapInArrow(
+                lambda batches, shared=shared: _near_in_cells(batches, *shared.value, metric), FOUND.format(kind)
+            )
+        )
+    return _ranked(placed, parts)

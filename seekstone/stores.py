@@ -130,8 +130,6 @@ class CellVectorStore(ExactVectorStore):
 
     def search_batch(self, queries: DataFrame, top_k: int | str) -> DataFrame:
         model, placed = self.fitted()
-        if isinstance(top_k, str):
-            return V.limited(lambda q, k: V.approximate_batch(placed, model, q, self.metric.value, k), queries, top_k)
         return V.approximate_batch(placed, model, queries, self.metric.value, top_k)
 
     def _search(self, held: DataFrame, query: Any, top_k: int) -> DataFrame:
