@@ -21,16 +21,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seekstone.errors import LexicalError
 from seekstone.functions.text import word_counts, words
+from seekstone.operators.best import BLOCK_HITS, Best, gathered
 from seekstone.schema import LexicalParams
 
-#: Terms of all searches together that are asked at once (some 10 MB); more go in several rounds.
+#: Terms of all searches together that are asked at once (some 10 MB); more, or more hits than ``BLOCK_HITS``, go in several rounds.
 BLOCK_TERMS = 200_000
 #: Up to so many the scores are added up in the JVM.
 FEW_TERMS = 64
 #: Different terms up to which they are named to the scan.
 PUSHED_TERMS = 1_000
-#: Scores that a task holds at once.
-TILE = 4_000_000
+#: Scores that a task holds at once, and shares of postings in scores.
+TILE = 1_000_000
 
 
 def check_new(chunk_ids: list[str], texts: list[str], known: set[str] = frozenset()) -> None:
@@ -112,6 +113,9 @@ def bm25(
     n, mean = stats or tuple(corpus_stats(lengths).first())
     number = asked.count()
     rounds = -(-number // BLOCK_TERMS)
+    if number > FEW_TERMS:
+        hits = queries.select(F.least(limit, F.lit(n)).alias("k")).filter("k > 0").agg(F.sum("k")).first()[0] or 0
+        rounds = max(rounds, -(-hits // BLOCK_HITS))
     found = None
     for r in range(rounds):
         mine = queries if rounds == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
@@ -152,61 +156,45 @@ def _bm25_round(spark, terms, limits, postings, params, n, mean, frequencies, al
         scored = weighed.join(F.broadcast(rows_df), "t").groupBy("query_id", "chunk_id", "seq", "k")
         return scored.agg(F.sum(F.col("idf") * F.col("w")).alias("score")).select("query_id", "chunk_id", "score", "seq", "k")
     asked, q = np.unique(ids, return_inverse=True)
+    deep = np.array([ks[i] for i in asked], np.int64)
     order = np.argsort(t, kind="stable")
     shared = spark.sparkContext.broadcast(
-        (asked, np.array([ks[i] for i in asked], np.int64), q.ravel()[order], np.searchsorted(t[order], np.arange(len(names) + 1)), idfs)
+        (asked, deep, q.ravel()[order].astype(np.int32), np.searchsorted(t[order], np.arange(len(names) + 1)), idfs)
     )
     kind = dict(postings.dtypes)["chunk_id"]
-    return (
-        weighed.repartition("chunk_id")
-        .sortWithinPartitions("chunk_id")
-        .mapInArrow(lambda b: _score_chunks(b, shared), f"query_id bigint, chunk_id {kind}, score double, seq bigint, k int")
+    by_chunk = weighed.repartition("chunk_id").sortWithinPartitions("chunk_id")
+    return gathered(by_chunk, int(deep.sum())).mapInArrow(
+        lambda b: _score_chunks(b, shared), f"query_id bigint, chunk_id {kind}, score double, seq bigint, k int"
     )
 
 
 def _score_chunks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Weighed postings ``(t, chunk_id, seq, w)``, sorted by chunk -> of each search the best chunks of these."""
+    """Weighed postings ``(t, chunk_id, seq, w)``, those of a chunk together -> of each search the best chunks of these."""
     asked, ks, searches, cuts, idfs = shared.value
-    deepest, tile = int(ks.max(initial=0)), max(1, TILE // max(1, len(asked)))
-    bound = np.zeros(len(asked))
-    best: list[pa.Table] = []
+    tile = max(1, TILE // max(1, len(asked)))
+    best, none = Best(ks), np.nextafter(0.0, 1.0)
     held: list[pa.RecordBatch] = []
 
-    def kept(tables: list[pa.Table]) -> pa.Table:
-        t = pa.concat_tables(tables)
-        q, score, seq = (t.column(c).to_numpy() for c in ("q", "score", "seq"))
-        order = np.lexsort((seq, -np.round(score, 9), q))
-        at = q[order]
-        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-        rank = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
-        last = (rank == ks[at] - 1) if len(at) else np.zeros(0, bool)
-        bound[at[last]] = score[order][last] - 1e-9  # equal ones are left to the final order
-        return t.take(pa.array(order[rank < ks[at]])).combine_chunks()
-
     def score(table: pa.Table) -> None:
-        nonlocal best
         chunk, t = table.column("chunk_id").combine_chunks(), table.column("t").to_numpy()
         new = np.r_[True, pc.not_equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False)]
         which, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        weight, seq = table.column("w").to_numpy() * idfs[t], table.column("seq").to_numpy()
-        for a in range(0, len(first), tile):
-            n = min(tile, len(first) - a)
+        weight, seq = table.column("w").to_numpy() * idfs[t], table.column("seq").to_numpy()[first]
+        base, times = best.rows(chunk.take(pa.array(first))), cuts[t + 1] - cuts[t]
+        shares = np.r_[0, np.cumsum(np.add.reduceat(times, first))]  # before each chunk
+        a = 0
+        while a < len(first):
+            n = int(min(tile, max(1, np.searchsorted(shares, shares[a] + TILE, "right") - 1 - a), len(first) - a))
             rows = slice(first[a], first[a + n] if a + n < len(first) else len(t))
-            times = cuts[t[rows] + 1] - cuts[t[rows]]
-            at = np.arange(times.sum()) + np.repeat(cuts[t[rows]] - (np.cumsum(times) - times), times)
-            place = searches[at] * n + np.repeat(which[rows] - a, times)
-            s = np.bincount(place, np.repeat(weight[rows], times), len(asked) * n).reshape(len(asked), n)
-            least = bound
-            if n > deepest:
-                least = np.maximum(bound, np.partition(s, n - deepest, axis=1)[:, n - deepest] - 1e-9)
-            i, j = np.nonzero((s >= least[:, None]) & (s > 0))
-            best.append(
-                pa.table({"q": i, "chunk_id": chunk.take(pa.array(first[a + j])), "score": s[i, j], "seq": seq[first[a + j]]})
-            )
-            if sum(map(len, best)) > 4 * int(ks.sum()) + 200_000:
-                best = [kept(best)]
-
-    if not deepest:
+            many = times[rows]
+            at = np.arange(many.sum()) + np.repeat(cuts[t[rows]] - (np.cumsum(many) - many), many)
+            place = searches[at].astype(np.int64) * n + np.repeat(which[rows] - a, many)
+            s = np.bincount(place, np.repeat(weight[rows], many), len(asked) * n).reshape(len(asked), n)
+            i, j = np.nonzero(s >= np.maximum(best.bound, none)[:, None])
+            best.add(i, s[i, j], seq[a + j], base + a + j)
+            a += n
+
+    if not ks.any():
         return
     for batch in batches:
         if not len(batch):
@@ -220,13 +208,7 @@ def _score_chunks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
         if len(changes):  # the last chunk waits for the next batch
             cut = int(changes[-1]) + 1
             score(table.slice(0, cut).combine_chunks())
-            held = table.slice(cut).to_batches()
+            held = table.slice(cut).combine_chunks().to_batches()
     if held:
         score(pa.Table.from_batches(held).combine_chunks())
-    if best:
-        t = kept(best)
-        q = t.column("q").to_numpy()
-        out = pa.table(
-            {"query_id": asked[q], "chunk_id": t.column("chunk_id"), "score": t.column("score"), "seq": t.column("seq"), "k": ks[q].astype(np.int32)}
-        )
-        yield from out.to_batches(max_chunksize=50_000)
+    yield from best.batches(asked)

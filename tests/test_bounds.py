@@ -67,3 +67,27 @@ def test_hits_are_let_go(monkeypatch):
         assert best.known <= 60 and best.count <= 30
     got = found(best.batches(np.array([7, 8, 9])))
     assert got == {7: ["r99_9", "r98_9", "r99_8"], 9: ["r99_9", "r98_9"]}  # equal scores by seq
+
+
+def test_chunks_are_scored_in_tiles_of_searches_and_shares():
+    """1,200 chunks with one word of all 5,000 searches: 6 million scores and shares, 4 million at once before."""
+    from types import SimpleNamespace
+
+    from seekstone.operators import lexical
+
+    n, m = 1_200, 5_000
+    rng = np.random.default_rng(2)
+    weight = np.round(rng.random((2, n)), 1) + 0.1  # ties
+    t, c = np.tile([0, 1], n), np.repeat(np.arange(n), 2)
+    table = pa.table({"t": pa.array(t, pa.int32()), "chunk_id": [f"c{i}" for i in c], "seq": c, "w": weight[t, c]})
+    ks = np.arange(m) % 3
+    idfs = np.array([1.0, 2.0])
+    searches, cuts = np.r_[np.arange(m), np.arange(0, m, 2)], np.array([0, m, m + m // 2])  # all ask for word 0, half for word 1
+    shared = SimpleNamespace(value=(np.arange(m) + 7, ks, searches, cuts, idfs))
+    got, mb = peak_mb(lambda: list(lexical._score_chunks(iter(table.to_batches(max_chunksize=500)), shared)))
+    want = {}
+    for both in (0, 1):
+        s = weight[0] + (2.0 * weight[1] if both else 0)
+        best = [f"c{j}" for j in np.lexsort((np.arange(n), -np.round(s, 9)))]
+        want |= {q + 7: best[: ks[q]] for q in range(m) if (q % 2 == 0) == bool(both) and ks[q]}
+    assert found(got) == want and mb < 100
