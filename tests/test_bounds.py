@@ -91,3 +91,15 @@ def test_chunks_are_scored_in_tiles_of_searches_and_shares():
         best = [f"c{j}" for j in np.lexsort((np.arange(n), -np.round(s, 9)))]
         want |= {q + 7: best[: ks[q]] for q in range(m) if (q % 2 == 0) == bool(both) and ks[q]}
     assert found(got) == want and mb < 100
+
+
+def test_cells_for_many_queries_are_scored_in_tiles():
+    """One cell of 8,000 vectors that 3,000 queries look into, and one that a third of them do: 190 MB of scores at once before."""
+    x, batch = vectors(10_000)
+    cell = (np.arange(10_000) >= 8_000).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["chunk_id", "embedding", "seq", "cell"])
+    q, ks = x[::3][:3_000] + 0.1, np.arange(3_000) % 4 + 1
+    asks, cuts = np.r_[np.arange(3_000), np.arange(0, 3_000, 3)].astype(np.int32), np.array([0, 3_000, 4_000])
+    got, mb = peak_mb(lambda: list(vector._near_in_cells(iter([batch]), np.arange(3_000), q, ks, asks, cuts, "l2")))
+    all_of, first = brute(x, q, ks, "l2"), brute(x[:8_000], q, ks, "l2")
+    assert mb < 100 and found(got) == {n: (all_of if n % 3 == 0 else first)[n] for n in range(3_000)}
