@@ -33,7 +33,7 @@ from seekstone.schema import (
     SearchMode,
     coerce,
 )
-from seekstone.session import discard, materialize, ship, spread
+from seekstone.session import discard, materialize, parallelism, ship
 from seekstone.sources import files
 from seekstone.stores import VectorStoreRegistry
 from seekstone.tool import SearchTool
@@ -135,9 +135,8 @@ class Engine:
         last = documents.groupBy("doc_id").agg(F.max("seq").alias("seq"))
         documents = documents.filter(F.col("doc_id").isNotNull()).join(last, ["doc_id", "seq"], "left_semi")
         documents = documents.dropDuplicates(["doc_id"])
-        cut = chunk_documents(spread(documents), chunker)
         # order: documents as given, then chunks within; numbered without bringing all rows together
-        numbered, ranged = self._numbered(cut, ["seq", "document_id", "chunk_index"])
+        numbered, ranged = self._numbered(documents, chunker)
         cut = materialize(numbered, "chunks")
         discard([ranged])
         ids = materialize(cut.select(F.col("document_id").alias("doc_id")).distinct(), "ids")
@@ -147,7 +146,9 @@ class Engine:
         vectors = materialize(vectors.select("chunk_id", "embedding", "seq"), "vectors")
         postings, lengths = build_index(cut, self.params)
         kept = documents.join(ids, "doc_id", "left_semi").select("doc_id", "content", "metadata", "seq")
-        postings = materialize(in_order(postings), "postings")
+        counted = materialize(postings, "counted")  # ranges are found by a look at all rows: words are counted once
+        postings = materialize(in_order(counted), "postings")
+        discard([counted])
         lengths, kept = materialize(lengths, "lengths"), materialize(kept, "documents")
         gone = self.chunks.join(ids, self.chunks["document_id"] == ids["doc_id"], "left_semi").select("chunk_id")
         gone = materialize(gone, "gone")
@@ -186,12 +187,13 @@ class Engine:
     def _next_document(self) -> int:
         return self.documents.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).head()["n"]
 
-    def _numbered(self, chunks: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-        """(numbered, a stored table that it reads): ``seq`` after all that are there: sorted by ranges, numbered within a range, shifted by the ranges before it."""
+    def _numbered(self, documents: DataFrame, chunker: Any) -> tuple[DataFrame, DataFrame]:
+        """(chunks numbered, a stored table that they read): ``seq`` after all that are there.  Documents are dealt by ranges, so that
+        the look for these cuts no text, and cut there; chunks are numbered within a range, shifted by the ranges before it."""
+        order = ["seq", "document_id", "chunk_index"]
         start = self.chunks.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).head()["n"]
-        ranged = materialize(
-            chunks.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged"
-        )
+        dealt = documents.repartitionByRange(parallelism(self.spark), "seq", "doc_id")
+        ranged = materialize(chunk_documents(dealt, chunker).withColumn("_range", F.spark_partition_id()), "ranged")
         sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per range
         before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         sizes = sizes.select("_range", before.alias("_before"))
@@ -202,6 +204,12 @@ class Engine:
 
     # retrieval
 
+    def use_store(self, vector_backend: str, **kwargs: Any) -> None:
+        """Search the same vectors by another store from now on; nothing is indexed anew."""
+        store = VectorStoreRegistry.create(vector_backend, self.embedder.dimension, self.metric, self.spark, **kwargs)
+        store.vectors = self.store.vectors
+        self.store, self.store_kwargs = store, dict(kwargs)
+
     def search(
         self,
         query: str,

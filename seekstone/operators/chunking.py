@@ -157,7 +157,8 @@ def chunk_documents(documents: DataFrame, chunker: Any) -> DataFrame:
 
     ``chunk_id`` is ``<doc_id>_chunk_<index>``; the document's metadata is overlaid by ``chunk_index`` and ``total_chunks``.
     Documents without a chunk give no row.  ``seq`` of a chunk: the document's, as the high part of a pair."""
-    cut = documents.withColumn("parts", chunk_column(chunker, F.col("content"))).filter(F.size("parts") > 0)
+    # as the row of a generator the chunks are cut once; as a column, again in each filter on their number
+    cut = documents.select("doc_id", "metadata", "seq", F.explode(F.array(chunk_column(chunker, F.col("content")))).alias("parts"))
     cut = cut.select("doc_id", "metadata", "seq", F.size("parts").alias("total_chunks"), F.posexplode("parts"))
     own = F.map_filter(
         F.coalesce("metadata", F.create_map().cast("map<string,string>")),

@@ -813,10 +813,10 @@ def engine_tool(spark, folder):
 
 @query()
 def engine_modes(spark, folder):
-    """All searches in the three modes, exactly and by cells, in one engine each: the same hits as often as cells find them."""
-    asked, out = _texts_of_batch(spark, folder), None
+    """All searches in the three modes, exactly and by cells, in an engine filled once: the same hits as often as cells find them."""
+    asked, out, engine = _texts_of_batch(spark, folder), None, _engine(spark, folder)
     for backend in ("exact", "cells"):
-        engine = _engine(spark, folder, vector_backend=backend)
+        engine.use_store(backend)
         for mode in ("bm25", "vector", "hybrid"):
             found = engine.search_table(asked, 10, mode).select(F.lit(backend).alias("store"), F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank")
             out = found if out is None else out.unionByName(found)

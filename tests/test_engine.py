@@ -359,3 +359,46 @@ def test_requests_of_all_kinds(spark):
     odd = spark.createDataFrame([(1, "moon", "other", 3, None, None, None)], schema)
     with pytest.raises(Exception, match="SearchMode"):
         engine.search_requests(odd).count()
+
+
+class _Counted:
+    """A chunker that notes each text it is given in a folder."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def split_text(self, text):
+        import uuid
+
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(text)
+        return [text]
+
+
+def test_a_document_is_cut_once(spark, tmp_path):
+    """Ranges of chunks were found by cutting all documents once more."""
+    e = Engine(spark, custom_chunker=_Counted(tmp_path))
+    rows = spark.createDataFrame([(f"d{i % 40:02}", f"word{i} same", {}, 100 - i) for i in range(60)], "doc_id string, content string, metadata map<string,string>, seq bigint")
+    e.add_table(rows.repartition(6))
+    given = [f.read_text() for f in tmp_path.iterdir()]
+    assert sorted(given) == sorted({f"word{i} same" for i in range(40)})
+    got = e.chunks.orderBy("seq").select("seq", "document_id").collect()
+    assert [tuple(r) for r in got] == [(n, f"d{39 - n:02}") for n in range(40)]  # of an id's rows the last one, in order
+
+
+def test_words_are_counted_once_and_another_store_indexes_nothing(spark, monkeypatch):
+    """What the ranges of postings are found by is a stored table; searches by another store are those of an engine filled with it."""
+    from seekstone import engine as module
+
+    read = []
+    monkeypatch.setattr(module, "in_order", lambda p, real=module.in_order: (read.append(p.inputFiles()), real(p))[1])
+    e = Engine(spark)
+    e.add_documents(DOCS)
+    assert all(files and "counted-" in files[0] for files in read) and read
+    filled = Engine(spark, vector_backend="cells")
+    filled.add_documents(DOCS)
+    tables = e.chunks, e.postings, e.store.vectors
+    e.use_store("cells")
+    assert e.store.backend == "cells" and (e.chunks, e.postings, e.store.vectors) == tables
+    for mode in ("bm25", "vector", "hybrid"):
+        assert e.search("language of the moon", 3, mode) == filled.search("language of the moon", 3, mode)
